@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, decontaminate, pii, quality, simhash
-from placeloom.llm.common import table
+from placeloom.llm import bpe, decontaminate, htmltext, pii, quality, simhash, warc
+from placeloom.llm.common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -60,14 +60,29 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as bigint)")
+    found = warc.page_records(spark, path)
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_quality_rules,
+        op3_warc,
         op4_benchmark_decontamination,
         op6_pii,
         op7_simhash,
         op9_bpe,
+        op10_html_extraction,
     )
 }
 
