@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, decontaminate, htmltext, pii, quality, simhash, warc
+from placeloom.llm import bpe, chat, decontaminate, htmltext, oracles, pii, quality, simhash, tokencount, toxicity, warc
 from placeloom.llm.common import scratch, table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,6 +25,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     judged = quality.assess(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -36,6 +41,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def _joined_spans(c: str) -> Column:
     return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -55,6 +65,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file(PIECES))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file(WORD_BPE))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -76,17 +90,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_chat_formatting,
         op2_quality_rules,
         op3_warc,
         op4_benchmark_decontamination,
+        op5_toxicity,
         op6_pii,
         op7_simhash,
+        op8_token_counts,
         op9_bpe,
         op10_html_extraction,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": oracles.OP1,
+    "op2_quality_rules": oracles.OP2,
+    "op4_benchmark_decontamination": oracles.OP4,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,19 +1,21 @@
 """Token counts by a count-only Viterbi over a unigram vocabulary.
 
 An Aho-Corasick automaton enumerates all vocabulary pieces in a text; the dynamic program keeps
-for each place only the best score and the number of ids of its path.  Scores add up in single
-precision and a later path replaces an earlier one only if it is strictly better, which are the
-tokenizer's own rules for ties and rounding.  Characters without a piece cost ``unk`` each and
-count as their bytes if the vocabulary falls back on bytes.
-
-No piece of such a vocabulary has its word mark after another character, so paths meet at every
-word start: while scores are whole numbers below 2^24 their sums are exact, and a word's gain and
-count do not depend on what precedes it.  Such words are kept and reused; elsewhere, and beyond
-that magnitude, the program runs on with the running single-precision score.
+for each place only the best score and the number of ids of its path.  Starts are visited from
+left to right, and a path replaces another to the same place only if it is strictly better, which
+is the tokenizer's rule for ties.  Characters without a piece cost ``unk`` each and count as their
+bytes if the vocabulary falls back on bytes.  Any file of pieces with scores will do; its scores
+are taken as log-probabilities, whatever procedure learned them, and placeholders with scores of
+a billion below zero are left out as unused.
+
+If no piece has the word mark after another character, all paths meet at every word start, and if
+scores are whole numbers their sums are exact: then a word's count does not depend on what
+precedes it and is kept for reuse.  Otherwise the program runs over the text in one go.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-EXACT = float(1 << 24)
+#: Pieces at or under this score are placeholders that no encoding may use.
+NEVER = -1e8
+RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class UnigramCounter:
@@ -40,8 +44,8 @@ class UnigramCounter:
         self.prefix, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         self.bytes = model.trainer_spec.byte_fallback
         kind = pb.ModelProto.SentencePiece
-        usable = [p for p in model.pieces if p.type in (kind.NORMAL, kind.USER_DEFINED)]
-        scores = [p.score for p in model.pieces if p.type == kind.NORMAL]
+        usable = [p for p in model.pieces if p.type == kind.USER_DEFINED or p.type == kind.NORMAL and p.score > NEVER]
+        scores = [p.score for p in usable if p.type == kind.NORMAL]
         self.unk = float(np.float32(np.float32(min(scores)) - np.float32(10.0)))
         top = float(np.float32(max(scores)))
         self.machine = ahocorasick.Automaton()
@@ -57,8 +61,8 @@ class UnigramCounter:
         self.machine.make_automaton()
         self.whole = whole and self.unk == int(self.unk)
         self.limit = limit
-        self.young: dict[str, tuple[float, int, float]] = {}
-        self.old: dict[str, tuple[float, int, float]] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def normal(self, text: str) -> str:
         """The text as the model sees it: spaces as marks, one put before it."""
@@ -68,69 +72,54 @@ class UnigramCounter:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
 
-    def run(self, s: str, score: float = 0.0) -> tuple[float, int, float]:
-        """(score at the end, number of ids, lowest score on the way) of the best path of ``s`` begun with ``score``."""
+    def run(self, s: str) -> int:
+        """Number of ids of the best path of ``s``."""
         n = len(s)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start, shortest first
-        for end, (size, w) in self.machine.iter(s):
-            ends[end + 1 - size].append((size, w))
-        best: list[float | None] = [None] * (n + 1)
+        for end, piece in self.machine.iter(s):
+            ends[end + 1 - piece[0]].append(piece)
+        best = [-np.inf] * (n + 1)
         count = [0] * (n + 1)
-        best[0] = score
-        f32 = np.float32
-        exact = self.whole
-        low = score
+        best[0] = 0.0
         for i in range(n):
-            here = best[i]
-            single = False
-            for size, w in sorted(ends[i]):
-                single = single or size == 1
-                c = here + w
-                at = best[i + size]
-                if at is None or c > at:
-                    best[i + size] = c if exact and c > -EXACT else float(f32(c))
-                    count[i + size] = count[i] + 1
-            if not single:
+            here, ids = best[i], count[i] + 1
+            pieces = ends[i]
+            if not pieces or pieces[0][0] != 1:  # the automaton gives shorter pieces of a start first
                 c = here + self.unk
-                at = best[i + 1]
-                if at is None or c > at:
-                    best[i + 1] = c if exact and c > -EXACT else float(f32(c))
-                    count[i + 1] = count[i] + (len(s[i].encode("utf-8", "surrogatepass")) if self.bytes else 1)
-            low = min(low, best[i + 1] if best[i + 1] is not None else low)
-        return best[n], count[n], low
+                if c > best[i + 1]:
+                    best[i + 1] = c
+                    count[i + 1] = ids - 1 + (len(s[i].encode("utf-8", "surrogatepass")) if self.bytes else 1)
+            for size, w in pieces:
+                c = here + w
+                if c > best[i + size]:
+                    best[i + size] = c
+                    count[i + size] = ids
+        return count[n]
+
+    def word(self, w: str) -> int:
+        x = self.old.get(w)
+        if x is None:
+            x = self.run(w)
+        if len(w) <= 200:
+            self.young[w] = x
+            if len(self.young) > self.limit:
+                self.old, self.young = self.young, {}
+        return x
 
     def count(self, text: str | None) -> int:
         """Number of ids of a whole text; null is as empty."""
         s = self.normal(text or "")
-        if not s:
-            return 0
-        if not (self.cuts and self.whole):
-            return self.run(s)[1]
-        score, total = 0.0, 0
-        # a word is a run of marks and what follows it up to the next mark
-        at, n = 0, len(s)
-        while at < n:
-            k = at
-            while k < n and s[k] == MARK:
-                k += 1
-            k = s.find(MARK, k)
-            k = n if k < 0 else k
-            word = s[at:k]
-            at = k
-            x = self.young.get(word) or self.old.get(word)
-            if x is None:
-                x = self.run(word)
-                if len(word) <= 200:
-                    self.young[word] = x
-                    if len(self.young) > self.limit:
-                        self.old, self.young = self.young, {}
-            gain, ids, low = x
-            if score + low > -EXACT:
-                score += gain
-                total += ids
-            else:
-                score, ids, _ = self.run(word, score)
-                total += ids
+        if not (s and self.cuts and self.whole):
+            return self.run(s) if s else 0
+        if MARK + MARK not in s:
+            first, *rest = s.split(MARK)
+            words = [first, *map(MARK.__add__, rest)] if first else map(MARK.__add__, rest)
+        else:
+            words = RUN.findall(s)  # a run of marks and what follows it
+        total = 0
+        for w in words:
+            x = self.young.get(w)
+            total += self.word(w) if x is None else x
         return total
 
 
