@@ -1,4 +1,4 @@
-"""All registered queries of the reference's operators, with their SQL."""
+"""All registered queries of the scene operators, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placeloom.plans import catalog
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The planning query: the best areas for a query vector and the walk between them."""
+    return catalog.e8_plan_route(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
