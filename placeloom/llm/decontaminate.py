@@ -67,17 +67,17 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80, size: int =
     index = materialize(known.select(F.explode("sketch").alias("h"), F.xxhash64("item_id", F.concat_ws("|", "shingles")).alias("item_key")).distinct(), "decontaminate-sketches")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     # the planner broadcasts the written sketches if they are under its threshold, else shuffles
-    seen = keyed.select("doc_id", "text_key", text_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    seen = keyed.select("doc_id", "text_key", text_words(F.col("text")).alias("w"))
     seen = seen.select("doc_id", "text_key", F.explode(hashes("w", size)).alias("h"))
     candidates = materialize(seen.join(index, "h").select("doc_id", "text_key", "item_key").distinct(), "decontaminate-candidates")
     whole = known.select("item_id", "shingles", F.xxhash64("item_id", F.concat_ws("|", "shingles")).alias("item_key"))
-    found = candidates.join(whole, "item_key")
-    same = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["text_key"] == found["text_key"])
-    texts = keyed.join(found, same).select(keyed["doc_id"], keyed["text_key"], "item_id", "shingles", text_words(keyed["text"]).alias("w"))
+    same = keyed["doc_id"].eqNullSafe(candidates["doc_id"]) & (keyed["text_key"] == candidates["text_key"])
+    texts = keyed.join(candidates, same).select(keyed["doc_id"], keyed["text_key"], "item_key", text_words(keyed["text"]).alias("w")).join(whole, "item_key")
     shared = F.size(F.array_intersect("shingles", shingles("w", size))).cast("long")
     counted = texts.select("doc_id", "text_key", "item_id", F.size("shingles").cast("long").alias("n_shingles"), shared.alias("n_shared"))
-    counted = counted.where(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
+    # the test comes after the aggregation: pushed below it, it would split the text anew for each word
     best = counted.groupBy("doc_id", "text_key", "item_id").agg(F.max_by(F.struct("n_shingles", "n_shared"), F.struct(F.col("n_shared") / F.col("n_shingles"), "n_shared")).alias("x"))
+    best = best.where(100 * F.col("x.n_shared") >= percent * F.col("x.n_shingles"))
     return best.select("doc_id", "text_key", "item_id", "x.n_shingles", "x.n_shared", (F.col("x.n_shared") / F.col("x.n_shingles")).alias("containment"))
 
 
