@@ -175,7 +175,8 @@ def assess(docs: DataFrame, labels: DataFrame, strata: str = "lang", alpha: floa
 def _judge(docs: DataFrame, scored: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     cuts = thresholds(scored.where(~F.col("base_failed")), labels, alpha, delta)
     cuts = materialize(cuts.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in RULES]), "quality-cutoffs")
-    return docs.join(cuts, "stratum", "left").withColumn("kept", ~F.col("base_failed") & verdict())
+    # one condition over both sides: a part of it pushed below would split the text anew for each word
+    return docs.join(cuts, "stratum", "left").withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict()))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, strata: str = "lang", alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
