@@ -38,6 +38,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batches_of(df: DataFrame, rows: int = 2500) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows for what follows in its session.
+
+    Whole texts are kilobytes each; the default of 10,000 rows would hold tens of megabytes
+    several times over in each worker.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE_RUN), lambda w: w != "")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import WHITE_RUN, materialize
+from placeloom.llm.common import WHITE_RUN, batches_of, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -135,7 +135,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 loose.append(rows(text, loose_spans(text, spans)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, struct), pa.array(loose, struct)], names=["doc_id", "text_key", "base", "loose"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, base {FOUND}, loose {FOUND}")
+    return batches_of(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), 800).mapInArrow(run, f"doc_id {kind}, text_key long, base {FOUND}, loose {FOUND}")
 
 
 def patterns(docs: DataFrame, found: DataFrame, rounds: int = 3, trust: float = 0.8, seeds: int = 3) -> DataFrame:
@@ -218,5 +218,5 @@ def redact(docs: DataFrame, rounds: int = 3, trust: float = 0.8, seeds: int = 3)
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names)) if k != extra]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "__added"])
 
-    out = wide.mapInArrow(run, docs.schema)
+    out = batches_of(wide, 800).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.llm.common import batches_of
+
 MARK = "▁"
 #: Pieces at or under this score are placeholders that no encoding may use.
 NEVER = -1e8
@@ -140,4 +142,4 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text:
             counts = [counter.count(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return batches_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, f"doc_id {kind}, n_tokens long")

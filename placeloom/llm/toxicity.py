@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.llm.common import batches_of
+
 #: At the ends of words these carry nothing.
 EDGES = ".,;:!?\"'()[]{}|#$%&*<>«»¡¿-_/\\=+~`^"
 LONG = 28
@@ -323,4 +325,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.concatenate(parts).astype(np.float64))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return batches_of(rows).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
