@@ -15,6 +15,7 @@ a word for this tokenizer (it is dropped before the merges), so a new chunk is e
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.llm.common import batches_of
+
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, dtype=np.uint64)
 WHITE = b" \t\n\x0b\x0c\r"
+#: Symbols that the pre-tokenizer always splits from letters before them, and that begin no special token.
+TAIL = b".,!?;:#$%&*"
 
 
-def cut_points(data: bytes, mean_bits: int = 10) -> np.ndarray:
+def cut_points(data: bytes, mean_bits: int = 11) -> np.ndarray:
     """Content-defined cuts inside ``data``, one in 2**mean_bits bytes on average, never within a character."""
     b = np.frombuffer(data, np.uint8)
     if len(b) < 64:
@@ -58,9 +63,9 @@ class Kept:
 
 
 class ChunkEncoder:
-    """Encodes whole texts; an encoded piece is (number of ids, decimal ids, decoded text), both joined by one space."""
+    """Encodes whole texts; an encoded piece is (decimal ids, decoded text), each id and token followed by one space."""
 
-    def __init__(self, path: str, cache_mb: int = 60):
+    def __init__(self, path: str, cache_mb: int = 150):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,24 +80,53 @@ class ChunkEncoder:
 
     def piece(self, ids: list[int]) -> tuple:
         decoded = self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
-        return len(ids), " ".join(map(str, ids)).encode(), decoded.encode()
+        return self.spaced(ids, decoded)
+
+    @staticmethod
+    def spaced(ids: list[int], decoded: str) -> tuple[bytes, bytes]:
+        return (" ".join(map(str, ids)).encode() + b" ", decoded.encode() + b" ") if ids else (b"", b"")
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes the words that are not kept, in one call."""
-        get = self.words.get
-        self.fresh = {}
-        new = []
+        self.fresh = fresh = {}
+        young, old, new = self.words.young, self.words.old, []
         for w in words:
-            if (x := get(w)) is None:
-                new.append(w)
-            else:
-                self.fresh[w] = x
+            x = young.get(w)
+            if x is None:
+                x = old.get(w)
+                if x is None:
+                    new.append(w)
+                    continue
+                self.words.put(w, x, 4 * len(w) + 300)
+                young = self.words.young
+            fresh[w] = x
+        # letters followed by symbols are two pieces whatever they are, and case is dropped
+        split = {}
+        for w in new:
+            stem = w.rstrip(TAIL)
+            key = stem.lower() if stem.isalpha() else stem if stem and len(stem) < len(w) and unicodedata.normalize("NFC", stem.decode()).lower().isalpha() else w
+            if key != w:
+                split[w] = (key, w[len(stem) :])
+        if split:
+            parts = {p for pair in split.values() for p in pair if p}
+            self.learn(parts)
+            known, self.fresh = self.fresh, fresh
+            for w, (a, b) in split.items():
+                x, y = known[a], known[b] if b else (b"", b"")
+                x = fresh[w] = (x[0] + y[0], x[1] + y[1])
+                if len(w) <= 256:
+                    self.words.put(w, x, 4 * len(w) + 300)
+            rest, new = new, []
+            for w in rest:
+                if w in known:
+                    fresh[w] = known[w]
+                elif w not in split:
+                    new.append(w)
         if new:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             for w, i, t in zip(new, ids, texts):
-                x = (len(i), " ".join(map(str, i)).encode(), t.encode())
-                self.fresh[w] = x
+                x = self.fresh[w] = self.spaced(i, t)
                 if len(w) <= 256:
                     self.words.put(w, x, 4 * len(w) + 300)
 
@@ -109,16 +143,16 @@ class ChunkEncoder:
         return head, inner, tail
 
     def gather(self, words: list[bytes]) -> tuple:
-        known = [x for x in map(self.fresh.__getitem__, words) if x[0]]
-        return sum(x[0] for x in known), b" ".join([x[1] for x in known]), b" ".join([x[2] for x in known])
+        known = list(map(self.fresh.__getitem__, words))
+        return b"".join([x[0] for x in known]), b"".join([x[1] for x in known])
 
     def join(self, before: bytes, word: bytes, after: bytes) -> tuple | None:
         """The repaired piece of a join, or None if it doesn't agree with its surroundings."""
         own = self.fresh[word]
         around = [w for w in (before, word, after) if w]
         window = self.tokenizer.encode(b" ".join(around).decode(), add_special_tokens=False).ids
-        apart = b" ".join([x[1] for x in map(self.fresh.__getitem__, around) if x[0]])
-        return own if " ".join(map(str, window)).encode() == apart else None
+        apart = b"".join([self.fresh[w][0] for w in around])
+        return own if self.spaced(window, "")[0] == apart else None
 
     def encode(self, texts: list[str | None]) -> list[tuple]:
         """(number of ids, ids, decoded text) of each text; null is as empty."""
@@ -158,7 +192,7 @@ class ChunkEncoder:
                 if at < len(joins) and joins[at][0] == k:
                     _, a, w, b, across = joins[at]
                     at += 1
-                    piece = (self.join(a, w, b) if across else self.fresh[w]) if w else (0, b"", b"")
+                    piece = (self.join(a, w, b) if across else self.fresh[w]) if w else (b"", b"")
                     if piece is None:
                         pieces = [self.encode_plain(data)]
                         break
@@ -172,16 +206,16 @@ class ChunkEncoder:
                     pieces.append(body)
                     if many:
                         kept = (head, (), tail, body, (inner[0], inner[-1]) if inner else (b"", b""))
-                        self.chunks.put(c, kept, 2 * len(c) + len(body[1]) + len(body[2]) + 500)
-            full = [p for p in pieces if p[0]]
-            out.append((sum(p[0] for p in full), b" ".join([p[1] for p in full]), b" ".join([p[2] for p in full])))
+                        self.chunks.put(c, kept, 2 * len(c) + len(body[0]) + len(body[1]) + 500)
+            ids = b"".join([p[0] for p in pieces])
+            out.append((ids.count(b" "), ids[:-1], b"".join([p[1] for p in pieces])[:-1]))
         return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", group_bytes: int = 4_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", group_bytes: int = 8_000_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens (long), ids (decimal, joined by one space), decoded.
 
     Equal to the tokenizers library's ids of the whole text without added special tokens, and to
@@ -204,4 +238,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                         names=["doc_id", "n_tokens", "ids", "decoded"],
                     )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids string, decoded string")
+    return batches_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids string, decoded string")
