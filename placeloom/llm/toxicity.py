@@ -30,6 +30,8 @@ from placeloom.llm.common import batches_of
 #: At the ends of words these carry nothing.
 EDGES = ".,;:!?\"'()[]{}|#$%&*<>«»¡¿-_/\\=+~`^"
 LONG = 28
+#: Shapes of the pooled values: the strongest value is raised, the counted ones are lowered towards clear matches.
+STRONGEST, COUNTED = 0.7, 2
 #: Single characters that follow each other with white space between are read as one word too.
 SPELT = re.compile(r"(?<=\s)\S(?:\s\S){2,}(?=\s)")
 MAYBE_SPELT = re.compile(r"\s\S\s\S\s\S\s")
@@ -40,8 +42,10 @@ def words_of(text: str | None) -> list[str]:
     """Lower-cased words without edge punctuation; spelt-out words are added joined."""
     low = f" {(text or '').lower()} "
     out = [w.strip(EDGES) for w in low.split()]
+    # symbols put between the letters of a word are taken out as well
+    out += ["".join(filter(str.isalnum, w)) for w in out if w and not w.isalnum()]
     if MAYBE_SPELT.search(low):
-        out += ["".join(m[0].split()).strip(EDGES) for m in SPELT.finditer(low)]
+        out += ["".join(filter(str.isalnum, m[0])) for m in SPELT.finditer(low)]
     return out
 
 
@@ -50,7 +54,7 @@ def pieces(word: str) -> list[str]:
     return [word] if len(word) <= LONG else [word[k : k + LONG] for k in range(0, len(word) - LONG // 2, LONG // 2)]
 
 
-def kernel(pairs: list[tuple[str, str]], decay: float = 0.6, length: int = 3) -> np.ndarray:
+def kernel(pairs: list[tuple[str, str]], decay: float = 0.75, length: int = 3) -> np.ndarray:
     """The unnormalised subsequence kernel of each pair of strings, by dynamic programming over all pairs at once."""
     if not pairs:
         return np.zeros(0, np.float32)
@@ -96,7 +100,7 @@ class Landmarks:
     Values are kept for words seen before, in bounded memory.
     """
 
-    def __init__(self, names: list[str], decay: float = 0.6, floor: float = 0.25, share: float = 0.4, limit: int = 300_000):
+    def __init__(self, names: list[str], decay: float = 0.75, floor: float = 0.25, share: float = 0.4, limit: int = 300_000):
         self.names, self.decay, self.floor, self.limit = names, decay, floor, limit
         # a word's skips are counted for all landmarks at once, in lanes of one whole number
         self.index: dict[str, int] = {}
@@ -172,9 +176,10 @@ class Landmarks:
                 for k, v in known[w]:
                     if v > top[k]:
                         top[k] = v
-                    count[k] += v**3
+                    count[k] += v**COUNTED
             row[2 * m :] = 30.0 * count / (30.0 + len(bag))
             np.log1p(count, out=count)
+            top **= STRONGEST
         return out
 
 
@@ -244,7 +249,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float, rounds: int = 400) -> tuple[
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str | None], labels: Iterable[int], landmarks: int = 64, decay: float = 0.6, cost: float = 300.0) -> Model:
+def fit(texts: list[str | None], labels: Iterable[int], landmarks: int = 64, decay: float = 0.75, cost: float = 300.0) -> Model:
     """Fits on labelled texts, whose sentences are pooled by text.  Without both classes the score is the rate of toxic labels."""
     y = np.array(list(labels), dtype=np.float64)
     rate = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 0.01, 0.99))
