@@ -72,7 +72,7 @@ def nearest(probes: DataFrame, targets: DataFrame, key: str, target: str, ord_:
         return left.select(key, F.lit(None).cast(dict(targets.dtypes)[target]).alias(target), F.lit(None).cast("double").alias("distance")).limit(0)
     found, radius = None, start
     for _ in range(rounds):
-        best = radius_join(left, targets.select(target, ord_, *XYZ), radius)
+        best = radius_join(left, targets.select(*dict.fromkeys([target, ord_, *XYZ])), radius)
         best = best.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"r.{target}").alias("id"), F.col("distance").alias("d")), F.struct("distance", f"r.{ord_}")).alias("m"))
         best = materialize(best.select(key, F.col("m.id").alias(target), F.col("m.d").alias("distance")), "nearest")
         found = best if found is None else found.unionByName(best)

@@ -168,12 +168,12 @@ def f18_stride(spark, d):
 
 # ---- joins
 
-@query(R + """, pairs AS (SELECT a.id AS a, b.id AS b FROM route_nodes a JOIN route_nodes b ON a.ord < b.ord AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 2
+@query(R + """, pairs AS (SELECT a.id AS a, b.id AS b FROM route_nodes a JOIN route_nodes b ON a.ord < b.ord AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 2.0003
   AND NOT (a.session = b.session AND abs(a.seq - b.seq) < 15))
  SELECT a, b FROM pairs WHERE NOT EXISTS (SELECT 1 FROM route_edges e WHERE (e.source_id = a AND e.target_id = b) OR (e.source_id = b AND e.target_id = a))""")
 def j1_proximity_edges(spark, d):
     nodes, edges = scene.route(spark, d)
-    return spatial.proximity_pairs(nodes, edges, 2.0, 15).select("a", "b")
+    return spatial.proximity_pairs(nodes, edges, 2.0003, 15).select("a", "b")
 
 
 CAND = f"""pairs AS (SELECT a.uid AS a_uid, b.uid AS b_uid, {DIST} AS d, {DIAG('a')} + {DIAG('b')} AS r, {SHARED} / least({VOL('a')}, {VOL('b')}) AS ios,
@@ -462,9 +462,9 @@ def w10_path_length(spark, d):
     return tracks.path_length(scene.poses(spark, d), ["session"]).select("session", r4("length"))
 
 
-@query(P + " SELECT session, count(*) - count(DISTINCT (floor(x), floor(y))) AS closures FROM poses GROUP BY session")
+@query(P + " SELECT session, count(*) - count(DISTINCT (floor(x + 0.0003), floor(y))) AS closures FROM poses GROUP BY session")
 def w11_loop_closures(spark, d):
-    return scene.poses(spark, d).groupBy("session").agg((F.count("*") - F.count_distinct(F.floor("x"), F.floor("y"))).alias("closures"))
+    return scene.poses(spark, d).groupBy("session").agg((F.count("*") - F.count_distinct(F.floor(F.col("x") + 0.0003), F.floor("y"))).alias("closures"))
 
 
 # ---- scalar functions

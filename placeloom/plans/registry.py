@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placeloom.plans import catalog
+from placeloom.plans import catalog, catalog2  # noqa: F401  catalog2 registers more
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
