@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo, vector
-from placeloom.operators import graph, spatial
+from placeloom.operators import graph, ranking, spatial
 from placeloom.operators.store import materialize
 
 XYZ = spatial.XYZ
@@ -32,18 +32,27 @@ def labels_agree() -> Column:
     return F.array_contains(F.col("r.voted"), F.col("l.label")) | F.array_contains(F.col("l.voted"), F.col("r.label"))
 
 
-def candidates(a: DataFrame, b: DataFrame, trust: float = 0.5, gate: float = 0.5, size: float | None = None) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, trust: float = 0.5, gate: float = 0.5, size: float = 4.0) -> DataFrame:
     """(a_uid, b_uid, ios, cdiag) of pairs that may be one object.
 
     A pair must be closer than its half diagonals together; then it needs either an overlap of
     ``trust`` of the smaller box, or a centre distance under ``gate`` of the half diagonals and
-    labels that agree.  Both need nearness, so a grid of the largest reach finds all of them.
+    labels that agree.  Spheres that reach each other have bounding cubes that overlap: the box
+    join finds those, and a large object fills many cells itself instead of widening all of them.
     """
-    reach = size or 2 * (a.unionByName(b, True).agg(F.max(F.sqrt(sum(F.col(h) * F.col(h) for h in HALF)))).first()[0] or 0.5)
-    pairs = spatial.radius_join(a, b, reach)
+
+    def cubes(df: DataFrame) -> DataFrame:
+        reach = F.sqrt(sum(F.col(h) * F.col(h) for h in HALF)) * (1 + 1e-9) + 1e-9
+        own = F.struct("uid", "label", "voted", *HALF).alias("own")
+        return df.select(*XYZ, own, reach.alias("hx"), reach.alias("hy"), reach.alias("hz"))
+
+    pairs = spatial.boxes_overlapping(cubes(a), cubes(b), size)
+    flat = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in XYZ], F.col(f"{s}.own.uid").alias("uid"), F.col(f"{s}.own.label").alias("label"), F.col(f"{s}.own.voted").alias("voted"), *[F.col(f"{s}.own.{h}").alias(h) for h in HALF]).alias(s)
+    pairs = pairs.select(flat("l"), flat("r"))
     shared = geo.overlap([F.col(f"l.{c}") for c in XYZ], [F.col(f"l.{h}") for h in HALF], [F.col(f"r.{c}") for c in XYZ], [F.col(f"r.{h}") for h in HALF])
-    pairs = pairs.withColumn("shared", shared).withColumn("ios", spatial.ios())
+    far = vector.distance(*[(F.col(f"l.{c}"), F.col(f"r.{c}")) for c in XYZ])
     both = half_diagonal("l") + half_diagonal("r")
+    pairs = pairs.withColumns({"shared": shared, "distance": far}).withColumn("ios", spatial.ios())
     pairs = pairs.where(F.col("distance") <= both).withColumn("cdiag", F.col("distance") / (both + 1e-9))
     pairs = pairs.where((F.col("ios") >= trust) | ((F.col("cdiag") < gate) & labels_agree()))
     return pairs.select(F.col("l.uid").alias("a_uid"), F.col("r.uid").alias("b_uid"), "ios", "cdiag")
@@ -104,7 +113,7 @@ def reconcile(a: DataFrame, b: DataFrame, votes: DataFrame, trust: float = 0.5,
     )
     kinds = kinds.withColumn("kind", F.when(F.col("has_a") + F.col("has_b") == 2, "fused").when(F.col("has_a") == 1, "only_a").otherwise("only_b"))
     top = a.agg(F.coalesce(F.max("uid"), F.lit(-1))).first()[0]
-    fresh = kinds.where("kind = 'only_b'").select("component", (F.row_number().over(W.orderBy("first")) + top).alias("new_uid"))
+    fresh = ranking.numbered(kinds.where("kind = 'only_b'").select("component", "first"), "first").select("component", (F.col("rank") + top).alias("new_uid"))
     best = pairs.join(parts.withColumnRenamed("id", "node"), tag("a_uid", "a") == F.col("node")).groupBy("component").agg(F.max("ios").alias("ios"))
     fused = fuse(whole).drop("uid", "label")
     labelled = votes.select("uid", "label", "n", "pos")

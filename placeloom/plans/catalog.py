@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo, vector
 from placeloom.functions import tags as T
-from placeloom.operators import clouds, clusters, graph, hierarchy, resolve, spatial, tracks
+from placeloom.operators import clouds, clusters, graph, hierarchy, ranking, resolve, spatial, tracks
 from placeloom.plans import planner, scene
 from placeloom.sources import maps
 
@@ -54,7 +53,7 @@ def f1_polygon_disposition(spark, d):
  SELECT uid AS source_id, row_number() OVER (ORDER BY uid) AS uid FROM ok WHERE disp = 'hierarchy'""")
 def f2_seed_graph(spark, d):
     ok = scene.tagged(spark, d).where(T.disposition(F.col("tags"), F.col("area"), 905, 1900) == "hierarchy")
-    return ok.select(F.col("uid").alias("source_id"), F.row_number().over(W.orderBy("uid")).cast("long").alias("uid"))
+    return ranking.numbered(ok.select(F.col("uid").alias("source_id")), "source_id", name="uid")
 
 
 @query(G + " SELECT uid, coalesce(uid % 2 = 0 AND highway IN ('footway','path','pedestrian','steps','cycleway','living_street'), false) AS walkable FROM tagged")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo, vector
 from placeloom.functions import tags as T
-from placeloom.operators import align, clouds, clusters, graph, network, resolve, spatial, tracks
+from placeloom.operators import align, clouds, clusters, graph, network, ranking, resolve, spatial, tracks
 from placeloom.operators.store import materialize
 from placeloom.plans import planner, scene
 from placeloom.plans.catalog import CLASSIFY, DIST, G, O, OV, P, R, STEPS, A, query, r4
@@ -116,7 +116,8 @@ def a28_roi_box(spark, d):
 def w8_fresh_uids(spark, d):
     o = scene.objects(spark, d)
     top = o.where("session = 'S0'").agg(F.max("uid")).first()[0]
-    return o.where("session = 'S1'").select(F.col("uid").alias("old"), (F.row_number().over(W.orderBy("ord")) + top).cast("long").alias("uid"))
+    b = ranking.numbered(o.where("session = 'S1'").select(F.col("uid").alias("old"), "ord"), "ord")
+    return b.select("old", (F.col("rank") + top).alias("uid"))
 
 
 @query(O + """, b AS (SELECT uid, 4 * hx + 4 * hy AS len, x - hx AS x0, x + hx AS x1 FROM objects) SELECT uid, greatest(CAST(floor(len / 0.5) AS INTEGER), 1) AS n FROM b""")
