@@ -258,7 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = components(fingerprint_links(distinct.select("fp"), budget, node_rows))
     linked = member.unionByName(member.select(F.col("component").alias("node"), "component").distinct())
     classes = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("class"))
-    lows = classes.groupBy("class").agg(F.min("low").alias("component_id"))
+    classes = materialize(classes, "simhash-classes")
+    # written, so that a class of very many fingerprints is a join's skewed key, which Spark splits
+    lows = materialize(classes.groupBy("class").agg(F.min("low").alias("component_id")), "simhash-lows")
     names = classes.join(lows, "class").select("fp", "component_id")
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
