@@ -18,6 +18,7 @@ Text that has no such patterns gets its base spans only.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -85,7 +86,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of looser shapes that touch no span in ``taken`` and not each other."""
-    out, busy = [], sorted((a, b) for _, a, b in taken)
+    out: list[tuple[str, int, int]] = []
+    busy: list[tuple[int, int]] = []  # apart from each other, in order
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if busy and a < busy[-1][1]:
+            busy[-1] = (busy[-1][0], max(b, busy[-1][1]))
+        else:
+            busy.append((a, b))
+
+    def free(a: int, b: int) -> bool:
+        k = bisect.bisect_left(busy, (b, 0))
+        return not k or busy[k - 1][1] <= a
+
     if "@" in text or " at " in text or "(at)" in text or "[at]" in text:
         mails = LOOSE_EMAIL.finditer(text)
     else:
@@ -98,9 +110,9 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         ("phone", LOOSE_PHONE.finditer(text), lambda d: 7 <= len(d) <= 15),
     ):
         for m in found:
-            if test(digits_of(m[0])) and all(m.end() <= a or m.start() >= b for a, b in busy):
+            if free(*m.span()) and test(digits_of(m[0])):
                 out.append((kind, *m.span()))
-                busy.append(m.span())
+                bisect.insort(busy, m.span())
     return out
 
 

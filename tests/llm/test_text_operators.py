@@ -239,8 +239,8 @@ def test_patterns_discover_unseen_identifiers(spark):
 
 
 def test_pii_edges(spark):
-    docs = docs_of(spark, [*ODD, (7, "9" * 50_000 + "." * 10 + "@" * 1000)])
-    assert pii.find_spans(docs).count() == len(ODD) + 1
+    docs = docs_of(spark, [*ODD, (7, "9" * 50_000 + "." * 10 + "@" * 1000), (8, "a@b.cc 555 123 4567, " * 5000)])
+    assert pii.find_spans(docs).count() == len(ODD) + 2
     red = pii.redact(docs)
     assert red.columns == docs.columns and red.where("text IS NULL").count() == 1
 
@@ -379,7 +379,7 @@ def test_tree_matching_and_merging():
 
 
 def test_html_edges(spark):
-    rows = [(1, None, None), (2, "nonsense", ""), (3, "https://a/", "plain text &lt; only"), (3, "https://a/", "plain text &lt; only"), (None, "https://a/", "<p>" * 3000 + "deep"), (5, "https://b/", "<article>a<br>b</article>"), (6, "https://c/", "<" * 2000)]
+    rows = [(1, None, None), (2, "nonsense", ""), (3, "https://a/", "plain text &lt; only"), (3, "https://a/", "plain text &lt; only"), (None, "https://a/", "<p>" * 3000 + "deep"), (5, "https://b/", "<article>a<br>b</article>"), (6, "https://c/", "<" * 2000), (7, "https://d/", "<div>" * 5000 + "deep <b>down" + "</i>" * 5000), (8, "https://d/", "<font><li>" * 3000 + "x")]
     got = htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and {r.text for r in got if r.page_id == 3} == {"plain text < only"} and [r.text for r in got if r.page_id == 5] == ["a b"]
     assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
