@@ -390,3 +390,33 @@ def v4_geodesic_heat(spark, d):
     return tree.select("node", r4(F.col("dist") / F.lit(top), "heat"))
 
 
+
+
+@query()
+def r2_outlines(spark, d):
+    from placeloom.operators import outlines
+
+    return outlines.outlines(scene.objects(spark, d), cell=1.0, close=2.0, most=3).select("rank", r4("area_m2"), "n_vertices")
+
+
+@query(O + """, c AS (SELECT DISTINCT CAST(floor(x) AS BIGINT) AS ix, CAST(floor(y) AS BIGINT) AS iy FROM objects), e AS (SELECT a.ix, a.iy, b.ix AS jx, b.iy AS jy FROM c a JOIN c b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1),
+ reach AS (SELECT DISTINCT ix, iy, low FROM (WITH RECURSIVE r(ix, iy, low) AS (SELECT ix, iy, (ix, iy) FROM c UNION SELECT e.jx, e.jy, r.low FROM r JOIN e ON e.ix = r.ix AND e.iy = r.iy WHERE r.low < (e.jx, e.jy)) SELECT * FROM r)),
+ m AS (SELECT ix, iy, min(low) AS low FROM reach GROUP BY 1, 2) SELECT low[1] AS lx, low[2] AS ly, count(*) AS cells FROM m GROUP BY 1, 2""")
+def r2_regions(spark, d):
+    from placeloom.operators import outlines
+
+    parts = outlines.regions(clouds.histogram(scene.objects(spark, d), 1.0))
+    low = parts.groupBy("component").agg(F.min(F.struct("ix", "iy")).alias("low"), F.count("*").alias("cells"))
+    return low.select(F.col("low.ix").alias("lx"), F.col("low.iy").alias("ly"), "cells")
+
+
+@query(O + f" SELECT uid, label, CASE WHEN label IN ('L1', 'L2') THEN 'portal' WHEN support >= 3 THEN 'area' ELSE 'free' END AS layer FROM objects")
+def v1_view_layers(spark, d):
+    layer = F.when(F.col("label").isin("L1", "L2"), "portal").when(F.col("support") >= 3, "area").otherwise("free")
+    return scene.objects(spark, d).select("uid", "label", layer.alias("layer"))
+
+
+@query(G + """ SELECT uid, '{"type":"node","id":' || uid || ',"tags":' || CASE WHEN name IS NULL THEN '{}' ELSE '{"name":"' || name || '"}' END || '}' AS payload FROM tagged""")
+def k9_overlay_payload(spark, d):
+    t = scene.tagged(spark, d)
+    return t.select("uid", F.to_json(F.struct(F.lit("node").alias("type"), F.col("uid").alias("id"), F.map_filter("tags", lambda k, v: k == "name").alias("tags"))).alias("payload"))

@@ -169,3 +169,21 @@ def test_nearest_of_no_targets_is_empty(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "uid long, x double, y double, z double")
     t = spark.createDataFrame([], "id string, ord long, x double, y double, z double")
     assert spatial.nearest(p, t, "uid", "id", "ord").count() == 0
+
+
+def test_outlines(spark):
+    from placeloom.operators import outlines
+
+    block = [(x + 0.5, y + 0.5, 0.0) for x in range(10) for y in range(6)] + [(x + 0.5, 40.5, 0.0) for x in range(3)]
+    df = spark.createDataFrame(block, "x double, y double, z double")
+    r = outlines.outlines(df, cell=1.0, close=1.0, tolerance=0.3).orderBy("rank").collect()
+    assert (r[0].n_vertices, r[0].area_m2, len(r)) == (4, 45.0, 2)
+    ring = outlines.trace({(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2), (1, 2), (2, 2)})
+    assert sorted(ring) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2)]
+
+
+def test_ranks_cover_ranges(spark):
+    from placeloom.operators import ranking
+
+    df = spark.createDataFrame([((k * 37) % 101,) for k in range(101)], "v int")
+    assert all(r.rank == r.v + 1 for r in ranking.numbered(df, "v").collect())
