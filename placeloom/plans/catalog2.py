@@ -420,3 +420,34 @@ def v1_view_layers(spark, d):
 def k9_overlay_payload(spark, d):
     t = scene.tagged(spark, d)
     return t.select("uid", F.to_json(F.struct(F.lit("node").alias("type"), F.col("uid").alias("id"), F.map_filter("tags", lambda k, v: k == "name").alias("tags"))).alias("payload"))
+
+
+@query(O + f""", e AS (SELECT a.uid AS i, b.uid AS j FROM objects a, objects b WHERE a.uid <> b.uid AND {DIST} < 2 AND greatest({DIST}, 1.5) / {DIST} < 1.8),
+ reach AS (SELECT DISTINCT id, low FROM (WITH RECURSIVE r(id, low) AS (SELECT uid, uid FROM objects UNION SELECT e.j, r.low FROM r JOIN e ON e.i = r.id WHERE r.low < e.j) SELECT * FROM r))
+ SELECT id, min(low) AS component FROM reach GROUP BY id""")
+def g8_ratio_components(spark, d):
+    """Objects linked when near and when the way round is not much longer than the straight line."""
+    o = scene.objects(spark, d).select("uid", *"xyz")
+    pairs = spatial.radius_join(o, o, 2.0).where("l.uid <> r.uid AND distance < 2")
+    ratio = vector.separability(F.greatest("distance", F.lit(1.5)), F.col("distance"))
+    links = pairs.where(ratio < 1.8).select(F.col("l.uid").alias("u"), F.col("r.uid").alias("v"))
+    return graph.components(o.select(F.col("uid").alias("id")), links)
+
+
+@query()
+def e9_plan_iteratively(spark, d):
+    query_vector = [float(x) for x in scene.read(spark, d, "embeddings").where("vec_id = 7").first().embedding]
+    stops = planner.plan_iteratively(scene.areas(spark, d), query_vector, (0.0, 0.0, 0.0), k=2, most=3)
+    return spark.createDataFrame([(k, int(u)) for k, u in enumerate(stops)], "step int, uid long")
+
+
+@query("SELECT c_custkey AS uid, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE n_nationkey END AS parent FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def t2_parents(spark, d):
+    c, n = scene.read(spark, d, "customer"), scene.read(spark, d, "nation")
+    j = c.join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    return j.select(F.col("c_custkey").alias("uid"), F.when(F.col("c_custkey") % 3 != 0, F.col("n_nationkey")).alias("parent"))
+
+
+@query("SELECT count(*) AS bad FROM part WHERE p_retailprice < 0 OR p_size < 1")
+def f19_validation(spark, d):
+    return scene.read(spark, d, "part").agg(F.count_if((F.col("p_retailprice") < 0) | (F.col("p_size") < 1)).alias("bad"))
