@@ -60,16 +60,25 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: int = 10_000) -> DataF
     edges = materialize(edges.groupBy("u", "v").agg(F.min("w").alias("w")), "paths-edges")
     kind = dict(edges.dtypes)["v"]
     best = materialize(sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("pred")).distinct(), "paths")
-    front = best
+    front, parts = best, [best]
+
+    def known() -> DataFrame:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return every.groupBy("src", "node").agg(F.min(F.struct("dist", "pred")).alias("o")).select("src", "node", "o.dist", "o.pred")
+
     for _ in range(limit):
         offers = front.join(edges, front["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("u").alias("pred"))
         offers = offers.groupBy("src", "node").agg(F.min(F.struct("dist", "pred")).alias("o"))
-        old = best.select("src", "node", F.col("dist").alias("d0"))
+        old = known().select("src", "node", F.col("dist").alias("d0"))
         better = offers.join(old, ["src", "node"], "left").where("d0 IS NULL OR o.dist < d0")
         front = materialize(better.select("src", "node", F.col("o.dist").alias("dist"), F.col("o.pred").alias("pred")), "paths")
-        if front.limit(1).count() == 0:
-            return best
-        best = materialize(best.join(front.select("src", "node"), ["src", "node"], "left_anti").unionByName(front), "paths")
+        if front.count() == 0:
+            return known()
+        parts.append(front)
+        if len(parts) > 6:  # what was found so far is put together now and then only
+            parts[:] = [materialize(known(), "paths")]
     raise RuntimeError("paths did not settle")
 
 
