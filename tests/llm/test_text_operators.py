@@ -181,7 +181,7 @@ def test_kernel_equals_brute_force():
 
     rng = random.Random(1)
     pairs = [tuple("".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(2)) for _ in range(60)]
-    assert toxicity.kernel(pairs) == pytest.approx([brute(*p) for p in pairs], rel=1e-4, abs=1e-6)
+    assert toxicity.kernel(pairs, 0.6) == pytest.approx([brute(*p) for p in pairs], rel=1e-4, abs=1e-6)
 
 
 def test_disguised_insults_are_found(spark):
