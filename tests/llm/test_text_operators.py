@@ -383,3 +383,17 @@ def test_html_edges(spark):
     got = htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and {r.text for r in got if r.page_id == 3} == {"plain text < only"} and [r.text for r in got if r.page_id == 5] == ["a b"]
     assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def texts_of(spark, pages):
+    """The text of each page of one host."""
+    rows = [(i, f"https://h.example/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_text_beside_the_largest_container_is_kept(spark):
+    long = "word " * 200
+    post = [f"<div class=post><h1>T{i}</h1><p>lead {i}</p><div class=body><p>{long}{i}</p></div><ul><li><a href=x>see {i}</a></ul></div>" for i in range(8)]
+    assert texts_of(spark, post) == [f"T{i}\nlead {i}\n{long}{i}\nsee {i}" for i in range(8)]
+    table = [f"<p>before {i}</p><table><tr><td>{long}{i}</td></tr></table><p>after {i}</p>" for i in range(8)]
+    assert texts_of(spark, table) == [f"before {i}\n{long}{i}\nafter {i}" for i in range(8)]
