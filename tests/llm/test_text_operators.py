@@ -397,3 +397,25 @@ def test_text_beside_the_largest_container_is_kept(spark):
     assert texts_of(spark, post) == [f"T{i}\nlead {i}\n{long}{i}\nsee {i}" for i in range(8)]
     table = [f"<p>before {i}</p><table><tr><td>{long}{i}</td></tr></table><p>after {i}</p>" for i in range(8)]
     assert texts_of(spark, table) == [f"before {i}\n{long}{i}\nafter {i}" for i in range(8)]
+
+
+BLOG = "<body><p class=top>Menu text</p><div><h1>{0}</h1>{1}</div></body><!-- {2} -->"
+
+
+def test_copies_of_a_page_are_not_its_template(spark):
+    pages = [BLOG.format("Same", "<blockquote>quoted words</blockquote><p>same text</p>", i) for i in range(6)]
+    pages += [BLOG.format(f"Other {i}", f"<p>text {i}</p>", i) for i in range(6)]
+    assert texts_of(spark, pages) == ["Same\nquoted words\nsame text"] * 6 + [f"Other {i}\ntext {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 12])
+def test_constants_need_three_contents_and_nearly_all_pages(spark, n):
+    """The rule for small hosts: a text is constant from three different contents on, if all pages have it."""
+    inside = "<div>{0}<h2>Menu text</h2></div>"  # unlike its neighbour: like siblings are one node
+    menu = "\nMenu text" if n < 3 else ""
+    assert texts_of(spark, [inside.format(f"<p>text {i}</p>") for i in range(n)]) == [f"text {i}{menu}" for i in range(n)]
+
+
+def test_text_on_half_of_the_pages_is_kept(spark):
+    pages = [f"<div><h1>Title {i}</h1>{'<h2>Summary</h2>' * (i % 2)}<p>text {i}</p></div>" for i in range(12)]
+    assert texts_of(spark, pages) == [f"Title {i}\n{'Summary' + chr(10) if i % 2 else ''}text {i}" for i in range(12)]
