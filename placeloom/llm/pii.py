@@ -5,13 +5,14 @@ shapes.  They seed a search for identifiers of looser shapes (a phone number wit
 card number with other separators, an address whose dot is spelt out):
 
 1. the two words left of an entity are a lexical pattern of its kind,
-2. patterns seen with enough different seeds, nearly all of one kind, are kept, and all their
-   occurrences in the whole corpus are counted,
-3. over the graph of patterns and instances, scores go back and forth for a few rounds: a
-   pattern's is the share of its occurrences held by trusted instances, those held by instances
-   of its kind that are still open left out (ordinary words are followed by something else
-   nearly always, so they score low), an instance's that of its best pattern,
-4. loose instances that reach ``trust`` are added wherever a trusted pattern precedes them.
+2. patterns seen with enough different trusted instances (seeds at first), nearly all of one kind,
+   are kept, and all their occurrences in the whole corpus are counted,
+3. over the graph of patterns and instances, scores go back and forth: a pattern's is the share of
+   its occurrences held by trusted instances, those held by instances of its kind that are still
+   open left out (ordinary words are followed by something else nearly always, so they score
+   low), an instance's that of its best pattern; instances that reach ``trust`` take part in 2 in
+   the next round, until nothing changes,
+4. trusted instances are added wherever a loose shape finds them, whatever precedes them there.
 
 Text that has no such patterns gets its base spans only.
 """
@@ -150,34 +151,52 @@ def _scan(docs: DataFrame) -> DataFrame:
     return batches_of(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), 800).mapInArrow(run, f"doc_id {kind}, text_key long, base {FOUND}, loose {FOUND}")
 
 
-def patterns(docs: DataFrame, found: DataFrame, rounds: int = 3, trust: float = 0.8, seeds: int = 3) -> DataFrame:
-    """before (array of two words), kind and score of the patterns that reach ``trust``."""
-    spread = lambda c, is_seed: found.select("doc_id", "text_key", F.inline(c)).where(F.size("before") == 2).select("kind", "value", "before", F.lit(is_seed).alias("seed"))
-    held = spread("base", True).unionByName(spread("loose", False))
-    edges = held.groupBy("before", "kind", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    edges = materialize(edges, "pii-edges")
-    # induced patterns: enough different seeds, nearly all of one kind
-    by_kind = edges.where("seed").groupBy("before", "kind").agg(F.count("*").alias("different"))
-    induced = by_kind.groupBy("before").agg(F.max_by("kind", "different").alias("kind"), F.max("different").alias("most"), F.sum("different").alias("all"))
-    induced = induced.where((F.col("most") >= seeds) & (F.col("most") >= trust * F.col("all"))).select("before", "kind")
-    induced = materialize(induced.withColumn("key", F.xxhash64(F.col("before")[0], F.col("before")[1])), "pii-induced")
-    # all their occurrences in the whole corpus
+def trusted_instances(docs: DataFrame, found: DataFrame, limit: int = 50, trust: float = 0.8, seeds: int = 3) -> DataFrame:
+    """kind and value of the base instances and of those whose best pattern reaches ``trust``.
+
+    A pattern once kept stays, and an instance's score counts in hundredths, so scores only rise
+    and settle; a run that doesn't in ``limit`` rounds is an error.
+    """
+    spread = lambda c, is_seed: found.select(F.inline(c)).select("kind", "value", "before", F.lit(is_seed).alias("seed"))
+    known = materialize(spread("base", True).select("kind", "value").distinct(), "pii-known")
+    held = spread("base", True).unionByName(spread("loose", False)).where(F.size("before") == 2)
+    edges = materialize(held.groupBy("before", "kind", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-edges")
+    # a loose occurrence of a base instance is a seed too
+    again = edges.where("NOT seed").drop("seed").join(known.withColumn("seed", F.lit(True)), ["kind", "value"], "left")
+    edges = materialize(edges.where("seed").unionByName(again.withColumn("seed", F.coalesce("seed", F.lit(False)))), "pii-edges")
     plain = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
     w = docs.select(F.filter(F.split(plain, WHITE_RUN), lambda x: x != "").alias("w")).where(F.size("w") > 2)
     keys = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.col("w")[i], F.col("w")[i + 1]))).alias("key"))
-    total = keys.join(induced.select("key").distinct(), "key").groupBy("key").agg(F.count("*").alias("total"))
-    graph = materialize(edges.join(induced, ["before", "kind"]).join(total, "key").select("before", "kind", "value", "n", "seed", "total"), "pii-graph")
-    instances = graph.select("kind", "value", "seed").groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("s"))
-    scored = None
-    for _ in range(rounds):
+    more, kept, graph, mark = known.limit(0), None, None, None
+    for _ in range(limit):
+        # induced patterns: enough different trusted instances, nearly all of one kind
+        held = edges.where("seed").unionByName(edges.where("NOT seed").join(more, ["kind", "value"], "left_semi"))
+        by_kind = held.groupBy("before", "kind").agg(F.count("*").alias("different"))
+        induced = by_kind.groupBy("before").agg(F.max_by("kind", "different").alias("kind"), F.max("different").alias("most"), F.sum("different").alias("all"))
+        induced = induced.where((F.col("most") >= seeds) & (F.col("most") >= trust * F.col("all"))).select("before", "kind")
+        new = induced if kept is None else induced.join(kept, "before", "left_anti")
+        new = materialize(new.withColumn("key", F.xxhash64(F.col("before")[0], F.col("before")[1])), "pii-induced")
+        if new.count():
+            # all occurrences of the new ones in the whole corpus
+            total = keys.join(new.select("key").distinct(), "key").groupBy("key").agg(F.count("*").alias("total"))
+            part = materialize(edges.join(new, ["before", "kind"]).join(total, "key").select("before", "kind", "value", "n", "seed", "total"), "pii-graph")
+            kept, graph = (new.drop("key"), part) if kept is None else (kept.unionByName(new.drop("key")), graph.unionByName(part))
+        elif kept is None:
+            return known
+        instances = graph.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("s")) if mark is None else instances.unionByName(graph.select("kind", "value", F.col("seed").cast("double").alias("s"))).groupBy("kind", "value").agg(F.max("s").alias("s"))
         scored = graph.join(instances, ["kind", "value"]).groupBy("before", "kind").agg((F.sum(F.col("n") * F.col("s")) / (F.max("total") - F.sum(F.col("n") * (1 - F.col("s"))) + 1)).alias("score"))
-        scored = materialize(scored, "pii-patterns")
         best = graph.join(scored, ["before", "kind"]).groupBy("kind", "value").agg(F.max("score").alias("m"), F.max("seed").alias("seed"))
-        instances = best.select("kind", "value", F.when(F.col("seed"), 1.0).when(F.col("m") >= trust, F.col("m")).otherwise(0.0).alias("s"))
-    return scored.where(F.col("score") >= trust)
+        cut = F.greatest(F.floor(F.col("m") * 100 + 1e-9) / 100, F.lit(trust))
+        instances = materialize(best.select("kind", "value", F.when(F.col("seed"), 1.0).when(F.col("m") >= trust, cut).otherwise(0.0).alias("s")), "pii-instances")
+        more = instances.where(F.col("s") >= trust).select("kind", "value")
+        now = (kept.count(), *instances.agg(F.count_if(F.col("s") >= trust), F.round(F.sum("s"), 3)).first())
+        if now == mark:
+            return known.unionByName(more).distinct()
+        mark = now
+    raise RuntimeError(f"patterns did not settle in {limit} rounds")
 
 
-def find_spans(docs: DataFrame, rounds: int = 3, trust: float = 0.8, seeds: int = 3) -> DataFrame:
+def find_spans(docs: DataFrame, limit: int = 50, trust: float = 0.8, seeds: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_key, base and added.
 
     base and added are arrays of (kind, start, end, value), in code points, end exclusive, by
@@ -186,9 +205,9 @@ def find_spans(docs: DataFrame, rounds: int = 3, trust: float = 0.8, seeds: int
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = materialize(_scan(docs), "pii-found")
-    trusted = patterns(docs, found, rounds, trust, seeds)
-    loose = found.select("doc_id", "text_key", F.inline("loose")).where(F.size("before") == 2)
-    extra = loose.join(trusted.select("before", "kind"), ["before", "kind"], "left_semi").distinct()
+    trusted = trusted_instances(docs, found, limit, trust, seeds)
+    loose = found.select("doc_id", "text_key", F.inline("loose"))
+    extra = loose.join(trusted, ["kind", "value"], "left_semi").distinct()
     extra = materialize(extra.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kind", "start", "end", "value")).alias("added")), "pii-added")
     e = extra.select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k"), "added")
 
@@ -202,13 +221,13 @@ def find_spans(docs: DataFrame, rounds: int = 3, trust: float = 0.8, seeds: int
     return joined.select("doc_id", "text_key", order(slim).alias("base"), order(F.coalesce("added", none)).alias("added"))
 
 
-def redact(docs: DataFrame, rounds: int = 3, trust: float = 0.8, seeds: int = 3) -> DataFrame:
+def redact(docs: DataFrame, limit: int = 50, trust: float = 0.8, seeds: int = 3) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind in angle brackets, columns unchanged.
 
     Of spans that overlap, the one that starts first (the longer of two) is replaced whole with
     what it overlaps.  Null texts stay null.  n_chars, if present, is counted anew.
     """
-    spans = find_spans(docs, rounds, trust, seeds)
+    spans = find_spans(docs, limit, trust, seeds)
     added = materialize(spans.where(F.size("added") > 0).select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k"), F.col("added").alias("__added")).distinct(), "pii-redact")
     same = docs["doc_id"].eqNullSafe(added["__i"]) & (F.xxhash64(docs["text"]) == added["__k"])
     wide = docs.join(added, same, "left").drop("__i", "__k")

@@ -238,6 +238,24 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert text[2] == "abc def call me <PHONE> now ok" and text[3] == text[2]
 
 
+def test_patterns_are_induced_from_what_was_found(spark):
+    loose = lambda i: "555 123 %04d" % i
+    rows = [(i, f"abc call me +1 (555) 999-{7000 + i} now") for i in range(20)]  # seeds of one context
+    rows += [(100 + i, f"abc call me {loose(i)} now") for i in range(5)]  # found by that context
+    rows += [(200 + i, f"abc ring him {loose(i)} now") for i in range(5)]  # induce the next one
+    rows += [(300 + i, f"abc ring him {loose(50 + i)} now") for i in range(1)]  # found by it
+    rows += [(400, f"other words {loose(50)} now"), (401, loose(50)), (402, f"tel:{loose(2)}"), (403, f"other words {loose(77)} now")]
+    found = {r.doc_id: r.added for r in pii.find_spans(docs_of(spark, rows)).collect()}
+    assert all(len(found[i]) == 1 for i in (100, 104, 200, 204, 300, 400, 401, 402)) and not found[403]
+    assert {r.text for r in pii.redact(docs_of(spark, [*rows, (500, "+1 (555) 999-7001 or 1 555 999 7001")])).where("doc_id = 500").collect()} == {"<PHONE> or <PHONE>"}
+
+
+def test_patterns_that_do_not_settle_are_an_error(spark):
+    rows = [(i, f"abc call me +1 (555) 999-{7000 + i} now") for i in range(20)]
+    with pytest.raises(RuntimeError):
+        pii.find_spans(docs_of(spark, rows), limit=1)
+
+
 def test_pii_edges(spark):
     docs = docs_of(spark, [*ODD, (7, "9" * 50_000 + "." * 10 + "@" * 1000), (8, "a@b.cc 555 123 4567, " * 5000)])
     assert pii.find_spans(docs).count() == len(ODD) + 2
