@@ -38,6 +38,13 @@ def j10_nearest_area(spark, d):
     return spatial.nearest(p, a, "session", "label", "label", 4.0).select("session", "label")
 
 
+@query(A + f""", p AS (SELECT session, seq, x, y, z FROM ({scene.POSES_SQL[len('poses AS ('):-1]})),
+ m AS (SELECT a.session, a.seq, b.label, row_number() OVER (PARTITION BY a.session, a.seq ORDER BY {DIST}, b.label) AS k FROM p a, areas b) SELECT session, seq, label FROM m WHERE k = 1""")
+def j10_nearest_area_whole(spark, d):
+    p = scene.poses(spark, d).withColumn("pose", F.struct("session", "seq"))
+    return spatial.nearest(p, scene.areas(spark, d), "pose", "label", "label", 4.0).select("pose.session", "pose.seq", "label")
+
+
 @query(R + """, far AS (SELECT * FROM route_nodes WHERE session % 2 = 1), base AS (SELECT * FROM route_nodes WHERE session % 2 = 0),
  m AS (SELECT a.id, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.ord) AS k FROM far a JOIN base b ON sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 2.0003)
  SELECT far.id, coalesce(m.target, far.id) AS target FROM far LEFT JOIN m ON m.id = far.id AND m.k = 1""")
@@ -129,7 +136,7 @@ def w7_contour_points(spark, d):
 
 @query("SELECT 1 AS id, CAST(2.0 AS DOUBLE) AS scale, CAST(0.6 AS DOUBLE) AS r10, CAST(1.0 AS DOUBLE) AS t0")
 def x3_sim3_from_poses(spark, d):
-    a = scene.objects(spark, d).where("uid < 40").select(F.col("uid").alias("id"), *"xyz")
+    a = scene.objects(spark, d).select(F.col("uid").alias("id"), *"xyz")
     moved = geo.Sim3(2.0, (0.8, -0.6, 0, 0.6, 0.8, 0, 0, 0, 1), (1, 2, 3)).apply([F.col(c) for c in "xyz"])
     s = align.from_poses(a, a.select("id", *[v.alias(c) for v, c in zip(moved, "xyz")]))
     return spark.range(1).select(F.lit(1).alias("id"), r4(F.lit(float(s.scale)), "scale"), r4(F.lit(float(s.rotation[3])), "r10"), r4(F.lit(float(s.shift[0])), "t0"))
@@ -150,6 +157,13 @@ def x7_unproject(spark, d):
     return scene.objects(spark, d).where("uid % 4 = 0").select("uid", *[r4(c, n) for c, n in zip(p, "xyz")])
 
 
+@query(O + " SELECT uid, round((uid % 640 - 320) * hx / 300, 4) AS x, round((uid % 480 - 240) * hx / 300, 4) AS y, round(hx, 4) AS z FROM objects")
+def x7_unproject_whole(spark, d):
+    u, v = F.col("uid") % 640, F.col("uid") % 480
+    p = geo.unproject(u, v, F.col("hx"), F.lit(300.0), F.lit(300.0), F.lit(320.0), F.lit(240.0))
+    return scene.objects(spark, d).select("uid", *[r4(c, n) for c, n in zip(p, "xyz")])
+
+
 @query(O + " SELECT uid, round(0.8*(x-1) + 0.6*(y-2), 4) AS x, round(-0.6*(x-1) + 0.8*(y-2), 4) AS y, round(z-3, 4) AS z FROM objects")
 def x8_world_to_camera(spark, d):
     p = geo.to_camera([F.col(c) for c in "xyz"], [F.lit(v) for v in (0.8, -0.6, 0.0, 0.6, 0.8, 0.0, 0.0, 0.0, 1.0)], [F.lit(v) for v in (1.0, 2.0, 3.0)])
@@ -258,6 +272,14 @@ def g9_add_places(spark, d):
     return out.where("source_id LIKE 'poi_%'")
 
 
+@query(R + f""", o AS (SELECT vec_id AS uid, 20.0 * CAST(embedding[1] AS DOUBLE) AS x, 20.0 * CAST(embedding[2] AS DOUBLE) AS y, 20.0 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+ m AS (SELECT a.uid, b.id AS node, row_number() OVER (PARTITION BY a.uid ORDER BY {DIST}, b.ord) AS k FROM o a, route_nodes b) SELECT 'poi_' || uid AS source_id, node AS target_id FROM m WHERE k = 1""")
+def g9_add_places_whole(spark, d):
+    nodes, edges = scene.route(spark, d)
+    _, out = network.add_places(nodes, edges, scene.objects(spark, d).select("uid", *"xyz"))
+    return out.where("source_id LIKE 'poi_%'")
+
+
 @query()
 def g10_walk_network(spark, d):
     poses = scene.poses(spark, d)
@@ -281,7 +303,7 @@ def g12_voxel_snap(spark, d):
 
 @query()
 def g13_session_route(spark, d):
-    nodes, edges = tracks.session_route(scene.poses(spark, d).where("session < 30"), "session", 10.0)
+    nodes, edges = tracks.session_route(scene.poses(spark, d), "session", 10.0)
     return nodes.select("id", r4("x"), r4("y"))
 
 
@@ -306,13 +328,11 @@ def e4_integrate_session(spark, d):
 
 @query()
 def e6_areas(spark, d):
-    low = scene.poses(spark, d).agg(F.min("session")).first()[0]
     nodes, edges = scene.route(spark, d)
-    own = nodes.where(F.col("session") == low).withColumns({c: F.col(c) / 4 - 10 for c in "xy"})
-    o = scene.objects(spark, d).where("uid < 120")
+    own = nodes.withColumns({c: F.col(c) / 4 - 10 for c in "xy"})
+    o = scene.objects(spark, d)
     o = o.withColumn("label", F.when(F.col("label") == "L1", "glassdoor").when(F.col("label") == "L2", "mirror").otherwise(F.col("label")))
     att = o.select("uid").limit(0).withColumn("node", F.lit(""))
-    edges = edges.join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     return network.areas(o, att, own, edges, d_max=8.0).select("cluster", "n", "diameter", r4("x"))
 
 
@@ -329,6 +349,13 @@ def k4_annotations(spark, d):
     return maps.annotations(t).where("uid % 10 = 0").select("uid", (F.col("role") == "unclassified").alias("open"))
 
 
+@query(G + f""", {CLASSIFY} SELECT uid, rule = 'none' AS open FROM c""")
+def k4_annotations_whole(spark, d):
+    t = scene.tagged(spark, d).select("uid", T.classify(F.col("tags")).alias("c"))
+    t = t.select("uid", "c.role", "c.category", "c.function", "c.name", F.col("c.desc").alias("description"))
+    return maps.annotations(t).select("uid", (F.col("role") == "unclassified").alias("open"))
+
+
 @query("SELECT c_custkey AS id, CAST(json_object('type', 'node', 'key', c_custkey, 'name', c_name) AS VARCHAR) AS doc FROM customer")
 def k1_json_documents(spark, d):
     c = scene.read(spark, d, "customer")

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from placeloom.plans import registry
+from placeloom.operators import align, tracks
+from placeloom.plans import registry, scene
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
@@ -38,3 +39,28 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_runs_where_sql_cannot_say(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_routes_of_all_sessions(spark):
+    """sf0.01 has more sessions than the smallest tables."""
+    d = "/root/testdata/sf0.01"
+    poses = scene.poses(spark, d).orderBy("session", "seq").toPandas()
+    want = {}
+    for k, g in poses.groupby("session"):
+        want |= dict(zip([(k, s) for s in g.seq], tracks.smooth(g[["x", "y", "z"]].to_numpy(float))))
+    got = {(r.session, r.seq): (r.x, r.y) for r in registry.queries()["w4_smooth"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][c] - want[k][c]) < 1e-3 for k in got for c in (0, 1))
+    ids = registry.queries()["g13_session_route"](spark, d).select("id").collect()
+    assert {r.id.split("_")[0] for r in ids} == {str(s) for s in poses.session.unique()}
+
+
+def test_areas_and_scales_see_every_object(spark, sf_dir, monkeypatch):
+    seen, scale = [], align.median_scale
+    monkeypatch.setattr(align, "median_scale", lambda a, b, key="id": (seen.append(a.count()), scale(a, b, key))[1])
+    for name in ("x3_sim3_from_poses", "a24_sim3_scale"):
+        registry.queries()[name](spark, sf_dir).collect()
+    o = scene.objects(spark, sf_dir)
+    assert seen == [o.count()] * 2
+    # label L2 stands for mirrors, which are gates and no members
+    n = registry.queries()["e6_areas"](spark, sf_dir).agg({"n": "sum"}).first()[0]
+    assert n == o.where("label <> 'L2'").count()
