@@ -189,6 +189,14 @@ def x19_html_escape(spark, d):
     return scene.read(spark, d, "benchmark").select("item_id", e.alias("html"))
 
 
+@query("SELECT item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM benchmark")
+def x19_html_escape_whole(spark, d):
+    e = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        e = F.replace(e, F.lit(a), F.lit(b))
+    return scene.read(spark, d, "benchmark").select("item_id", e.alias("html"))
+
+
 @query(O + " SELECT uid, round(uid * CAST(0.61803398875 AS DOUBLE) - floor(uid * CAST(0.61803398875 AS DOUBLE)), 6) AS hue FROM objects")
 def x20_hue(spark, d):
     h = F.col("uid") * 0.61803398875
