@@ -251,6 +251,95 @@ def test_patterns_are_induced_from_what_was_found(spark):
     assert {r.text for r in pii.redact(docs_of(spark, [*rows, (500, "+1 (555) 999-7001 or 1 555 999 7001")])).where("doc_id = 500").collect()} == {"<PHONE> or <PHONE>"}
 
 
+def brute_added(texts, trust=0.8, seeds=3):
+    """The added spans of each text, from the definition: counts over all words and mentions, rounds until nothing changes."""
+    norm = lambda t: [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in words(re.sub("[1-9]", "0", t or ""))]
+    total, edges, seed, loose = {}, {}, set(), []
+    for t in texts:
+        w = norm(t)
+        for x in [*[p + v for p in "1r" for v in w], *["2" + " ".join(v) for v in zip(w, w[1:])]]:
+            total[x] = total.get(x, 0) + 1
+        base, other = pii.mentions(t or "")
+        seed |= {(m["kind"], m["value"]) for m in base}
+        loose.append([m for m in other if m["valid"]])
+        for m in base + other:
+            for p in m["pats"]:
+                if p[0] in "ghs":
+                    total[p] = total.get(p, 0) + 1
+                if m["valid"]:
+                    key = (p, m["kind"], m["value"])
+                    edges[key] = edges.get(key, 0) + 1
+    score = {k[1:]: float(k[1:] in seed) for k in edges}
+    kept = {}
+    while True:
+        before = (dict(kept), dict(score))
+        for p in {k[0] for k in edges} - set(kept):
+            sure = [k[1] for k in edges if k[0] == p and score[k[1:]] >= trust]
+            top = max(sorted(set(sure)), key=sure.count, default=None)
+            if top and sure.count(top) >= seeds * pii.NEED[p[0]] and sure.count(top) >= trust * len(sure):
+                kept[p] = top
+        best = {}
+        for p, kind in kept.items():
+            own = [(n, k[1:]) for k, n in edges.items() if k[:2] == (p, kind)]
+            r = sum(n * score[i] for n, i in own) / (total[p] - sum(n * (1 - score[i]) for n, i in own if p[0] in "12r") + 1)
+            for _, i in own:
+                best[i] = max(best.get(i, 0), r)
+        for i, r in best.items():
+            if score[i] < 1 and r >= trust:
+                score[i] = max(score[i], trust, int(r * 100 + 1e-9) / 100)
+        if before == (kept, score):
+            sure = seed | {i for i, v in score.items() if v >= trust}
+            return [{(m["kind"], m["start"], m["end"]) for m in found if (m["kind"], m["value"]) in sure} for found in loose]
+
+
+def personal_texts(rng, n=260):
+    """Texts with identifiers of base and of looser shapes after words that announce them, and decoys; the places of the looser ones."""
+    w = lambda m: " ".join("".join(rng.choice("abdefgilmnorst") for _ in range(rng.randint(2, 7))) for _ in range(m))
+    number = lambda: f"{rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(0, 9999):04d}"
+    before = ["call me", "reach us", "Telefon privat", "phone home"]
+    out = []
+    for i in range(n):
+        kind = i % 8
+        if kind < 2:
+            ident, known = "+1 " + number(), False
+        elif kind == 2:
+            ident, known = number(), True
+        elif kind == 3:
+            ident, known = number().replace(" ", "."), True
+        elif kind == 4:
+            ident, known = f"{w(1)}{i}@mail.example.org", False
+        elif kind == 5:
+            ident, known = f"{w(1)}{i} at mail dot example dot org", True
+        else:
+            ident, known = number(), False  # a decoy after words of its own
+        announced = f"{rng.choice(['write to', 'mail for'])} " if kind in (4, 5) else f"{rng.choice(before)} " if kind < 4 else ""
+        head = f"{w(12)} {announced}"
+        out.append((f"{head}{ident} {w(9)}", (len(head), len(head) + len(ident)) if known else None))
+    return out
+
+
+def test_unseen_identifiers_are_found_and_spans_equal_brute_force(spark):
+    planted = personal_texts(random.Random(12))
+    texts = [t for t, _ in planted] + [None, "", "x " * 300, "4417744280351547 4929348385146306 glued", planted[2][0]]
+    got = {r.doc_id: {(x.kind, x.start, x.end) for x in r.added} for r in pii.find_spans(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_added(texts)
+    found = sum(len(got[i]) for i in range(len(planted)))
+    right = sum(place in {x[1:] for x in got[i]} for i, (_, place) in enumerate(planted) if place)
+    assert right >= 0.9 * sum(p is not None for _, p in planted) and right >= 0.95 * found
+
+
+def test_numbers_side_by_side_are_told_by_their_shape(spark):
+    def card(k):
+        body = f"4{k:014d}"
+        return next(body + str(d) for d in range(10) if pii.luhn(body + str(d)))
+
+    rows = [(i, f"a word {card(7_000_000 + 77 * i)} and more") for i in range(60)] + [(100 + i, f"b {card(9_000_000 + 13 * i)} {card(8_000_000 + 31 * i)} c") for i in range(5)]
+    rows += [(200, "b " + card(5) + " 190.137.223.204 c"), (201, "b +1 (826) 555-4081 190.137.223.204 c")]
+    rows = [r for r in rows if r[0] < 100 or r[0] >= 200 or not pii.base_spans(r[1])]
+    found = {r.doc_id: r.added for r in pii.find_spans(docs_of(spark, rows)).collect()}
+    assert all(len(found[i]) == 2 for i in found if 100 <= i < 200) and any(i >= 100 for i in found) and not found[201]  # no phone of that shape is known
+
+
 def test_patterns_that_do_not_settle_are_an_error(spark):
     rows = [(i, f"abc call me +1 (555) 999-{7000 + i} now") for i in range(20)]
     with pytest.raises(RuntimeError):
@@ -259,7 +348,7 @@ def test_patterns_that_do_not_settle_are_an_error(spark):
 
 def test_pii_edges(spark):
     docs = docs_of(spark, [*ODD, (7, "9" * 50_000 + "." * 10 + "@" * 1000), (8, "a@b.cc 555 123 4567, " * 5000)])
-    assert pii.find_spans(docs).count() == len(ODD) + 2
+    assert pii.find_spans(docs).count() == len(ODD) + 2 and pii.find_spans(docs_of(spark, [])).count() == 0
     red = pii.redact(docs)
     assert red.columns == docs.columns and red.where("text IS NULL").count() == 1
 
