@@ -4,7 +4,7 @@ An Aho-Corasick automaton enumerates all vocabulary pieces in a text; the dynami
 for each place only the best score and the number of ids of its path.  Starts are visited from
 left to right, and a path replaces another to the same place only if it is strictly better, which
 is the tokenizer's rule for ties.  Characters without a piece cost ``unk`` each and count as their
-bytes if the vocabulary falls back on bytes.  Any file of pieces with scores will do; its scores
+bytes if the vocabulary falls back on bytes; else a run of them is one id.  Any file of pieces with scores will do; its scores
 are taken as log-probabilities, whatever procedure learned them, and placeholders with scores of
 a billion below zero are left out as unused.
 
@@ -61,6 +61,7 @@ class UnigramCounter:
             self.cuts = self.cuts and MARK not in inner
             self.machine.add_word(p.piece, (len(p.piece), score))
         self.machine.make_automaton()
+        self.marked = any(p.piece == MARK for p in usable)  # the mark is never unknown
         self.whole = whole and self.unk == int(self.unk)
         self.limit = limit
         self.young: dict[str, int] = {}
@@ -83,6 +84,7 @@ class UnigramCounter:
         best = [-np.inf] * (n + 1)
         count = [0] * (n + 1)
         best[0] = 0.0
+        unknown = [False] * (n + 1)  # whether the best path to here ends with an unknown character
         for i in range(n):
             here, ids = best[i], count[i] + 1
             pieces = ends[i]
@@ -90,12 +92,14 @@ class UnigramCounter:
                 c = here + self.unk
                 if c > best[i + 1]:
                     best[i + 1] = c
-                    count[i + 1] = ids - 1 + (len(s[i].encode("utf-8", "surrogatepass")) if self.bytes else 1)
+                    count[i + 1] = ids - 1 + (len(s[i].encode("utf-8", "surrogatepass")) if self.bytes else not unknown[i])
+                    unknown[i + 1] = True
             for size, w in pieces:
                 c = here + w
                 if c > best[i + size]:
                     best[i + size] = c
                     count[i + size] = ids
+                    unknown[i + size] = False
         return count[n]
 
     def word(self, w: str) -> int:
@@ -111,7 +115,8 @@ class UnigramCounter:
     def count(self, text: str | None) -> int:
         """Number of ids of a whole text; null is as empty."""
         s = self.normal(text or "")
-        if not (s and self.cuts and self.whole):
+        # without byte fallback a run of unknown characters may go on over a word's end
+        if not (s and self.cuts and self.whole and (self.bytes or self.marked)):
             return self.run(s) if s else 0
         if MARK + MARK not in s:
             first, *rest = s.split(MARK)
