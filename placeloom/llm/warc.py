@@ -32,6 +32,22 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 
 
+#: Names that Spark's file systems have for what pyarrow calls otherwise; a ``dbfs:`` path is mounted as a local one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(path: str) -> str:
+    """The path as pyarrow's file systems name it; paths without a scheme are local."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return SCHEMES.get(scheme, scheme) + ":" + rest
+
+
 def deduplicated(pages: DataFrame, id_col: str, payload: str, least: int = 100) -> DataFrame:
     """``pages`` with __payload (null as empty), __bytes, __sha256 and __refers (the id it repeats, or null).
 
@@ -59,7 +75,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     """Writes a record for each row of ``pages`` to the folder ``path``.
 
     The tables have no fetch time, so ``date`` is a parameter.  The HTTP head of a revisit keeps
-    the length of the full payload.
+    the length of the full payload.  An empty table gives archives without records.
     """
     rows = deduplicated(pages, id_col, payload, least)
     again = F.col("__refers").isNotNull()
@@ -114,7 +130,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Small archives are packed together up to the target size; an archive is never split."""
-        fs, root = pafs.FileSystem.from_uri(self.path)
+        fs, root = pafs.FileSystem.from_uri(arrow_uri(self.path))
         info = fs.get_file_info(root)
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         files = sorted((f.path, f.size or 0) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
@@ -134,7 +150,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         names = [*HEADERS, "http_length", "payload"]
         kinds = [pa.string()] * len(HEADERS) + [pa.int64(), pa.binary()]
-        fs, _ = pafs.FileSystem.from_uri(self.path)
+        fs, _ = pafs.FileSystem.from_uri(arrow_uri(self.path))
         rows: list[tuple] = []
         size = 0
         for path in partition.paths:
@@ -204,13 +220,17 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to of every page record.
+    """record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to of every page record, in one reading.
 
     Lengths and digests of responses are those of the payloads read back; revisits, whose
     payloads are elsewhere, give what their headers say.
     """
-    responses = read_warc(spark, path).where(F.col("record_type") == "response")
-    revisits = read_warc(spark, path, payloads=False).where(F.col("record_type") == "revisit")
-    full = responses.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    bare = revisits.withColumns({"payload_bytes": F.col("http_length"), "payload_digest": F.regexp_replace("payload_digest", "^sha256:", "")})
-    return full.unionByName(bare).select("record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to")
+    found = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    again = F.col("record_type") == "revisit"
+    full = found.withColumns(
+        {
+            "payload_bytes": F.when(again, F.col("http_length")).otherwise(F.octet_length("payload").cast("long")),
+            "payload_digest": F.when(again, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256)),
+        }
+    )
+    return full.select("record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to")
