@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,22 @@ WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path below the shared folder named by ``spark.checkpoint.dir``; what is there is deleted when the driver ends.
 
-    Only where the setting is absent (a single machine, tests) a temporary folder is used; the
-    choice is kept in the session, so all scratch tables of a session lie together.
+    Only where the setting is absent on a single machine (master local, as in tests) a temporary
+    folder is used; the choice is kept in the session, so all scratch tables of a session lie
+    together.  On a cluster an absent setting is an error: executors see no folder of the driver.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("placeloom.scratch", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="placeloom-")
         spark.conf.set("placeloom.scratch", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

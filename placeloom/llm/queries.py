@@ -106,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": oracles.OP1,
     "op2_quality_rules": oracles.OP2,
+    "op3_warc": oracles.OP3,
     "op4_benchmark_decontamination": oracles.OP4,
 }
 

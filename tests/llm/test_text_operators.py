@@ -142,6 +142,12 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.payload_digest == hashlib.sha256((h or "").encode()).hexdigest() and r.payload_bytes == len((h or "").encode())
 
 
+def test_warc_schemes_and_empty_tables(spark, tmp_path):
+    assert warc.arrow_uri("s3a://b/k") == "s3://b/k" and warc.arrow_uri("dbfs:/x/y") == "file:///dbfs/x/y" and warc.arrow_uri("file:/x") == "file:///x" and warc.arrow_uri("/x/y:z") == "/x/y:z"
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"file:{tmp_path}/e")
+    assert warc.page_records(spark, f"file:{tmp_path}/e").count() == 0
+
+
 def test_warc_predicates_are_taken_over(spark, tmp_path):
     path = f"file://{tmp_path}/p"
     warc.write_warc(spark.createDataFrame([(1, "a", "x" * 200), (2, "b", "x" * 200)], "page_id long, url string, html string"), path)
@@ -155,11 +161,25 @@ def test_warc_predicates_are_taken_over(spark, tmp_path):
 
 
 def brute_contained(docs, items, percent=80):
-    def sh(t):
-        w = [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-    return {(i, j) for i, t in docs for j, u in items if (s := sh(u)) and 100 * len(s & sh(t)) >= percent * len(s)}
+    def split(t):
+        return [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
+
+    def sh(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    held = {}
+    for i, t in docs:
+        w = split(t)
+        for j, u in items:
+            v = split(u)
+            if v:
+                n = min(5, len(v))
+                s = sh(v, n)
+                key = (i, t, n)
+                if key not in held:
+                    held[key] = sh(w, n)
+                if 100 * len(s & held[key]) >= percent * len(s):
+                    yield i, j
 
 
 def test_containment_equals_brute_force(spark):
@@ -168,9 +188,32 @@ def test_containment_equals_brute_force(spark):
     items = [(j, text(rng.randint(3, 40))) for j in range(25)] + [(100, None), (101, "")]
     docs = [(i, text(300) + " " + " ".join(items[i % 25][1].split()[: rng.randint(1, 40)]) + " " + text(50)) for i in range(60)] + [(80, items[3][1].upper() + "!"), *[x for x in ODD if x[0] != 5]]
     got = decontaminate.contained(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_contained(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == set(brute_contained(docs, items))
+    assert any(len(u.split()) < 5 for _, u in items if u) and len(set(brute_contained(docs, items))) >= 50
     clean = decontaminate.drop_contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((str(r.doc_id), r.text or "") for r in clean.collect()) == sorted((str(i), t or "") for i, t in docs if not brute_contained([(i, t)], items))
+    assert sorted((str(r.doc_id), r.text or "") for r in clean.collect()) == sorted((str(i), t or "") for i, t in docs if not any(brute_contained([(i, t)], items)))
+
+
+def test_shingles_that_all_items_share_make_no_candidates(spark):
+    """Items with common words in front: sketches prefer what few items share, and need many hits."""
+    common = "please read the following question and choose the one right answer from these four"
+    items = [(j, f"{common} {' '.join(f'w{j}x{k}' for k in range(12))}") for j in range(30)] + [(99, items_text) for items_text in [f"{common} {' '.join(f'w7x{k}' for k in range(12))}"]]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    sketch = decontaminate.sketches(decontaminate.shingled_items(frame))
+    shared = {r.h for r in sketch.collect()} & {r.h for r in decontaminate.shingled_items(spark.createDataFrame([(1, common)], "item_id long, text string")).collect()}
+    assert not shared and sketch.select("item_key").distinct().count() == 30
+    docs = [(1, common), (2, items[7][1].upper()), (3, "x " * 9 + items[3][1] + " y"), (None, items[4][1]), (5, "a " * 40_000 + items[5][1])]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(docs_of(spark, docs), frame).collect()}
+    assert got == {(2, 7), (2, 99), (3, 3), (None, 4), (5, 5)} == set(brute_contained(docs, items))
+
+
+def test_decontamination_edges(spark):
+    items = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "x y z"), (2, None)], "item_id long, text string")
+    assert decontaminate.contained(docs_of(spark, []), items).count() == 0
+    assert decontaminate.contained(docs_of(spark, ODD), items.limit(0)).count() == 0
+    assert decontaminate.drop_contaminated(docs_of(spark, ODD), items.limit(0)).count() == len(ODD)
+    got = decontaminate.contained(docs_of(spark, [(1, "zero ONE, two!"), (1, "zero ONE, two!"), (2, "one x two"), (None, "x y z")]), items)
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in got.collect()} == {(1, 1, 1), (None, None, 1)} and got.count() == 2
 
 
 # ---- toxicity
@@ -462,6 +505,26 @@ def test_token_counts_equal_the_library(spark):
         assert r.n_tokens == len(own.encode(texts[r.doc_id] or ""))
 
 
+@pytest.mark.parametrize("mark", [True, False])
+def test_unknown_characters_are_one_id_without_byte_fallback(tmp_path, mark):
+    import sentencepiece as spm
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(open(tokenizer_file(PIECES), "rb").read())
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, False
+    for p in model.pieces:
+        if p.score <= tokencount.NEVER or p.type == 6 or not mark and p.piece == tokencount.MARK:
+            p.type = 5
+    (tmp_path / "m").write_bytes(model.SerializeToString())
+    own, counter = spm.SentencePieceProcessor(model_proto=model.SerializeToString()), tokencount.UnigramCounter(str(tmp_path / "m"))
+    assert all(counter.count(t) == len(own.encode(t or "")) for t in ["漢字漢字", "abc ZZZZ def", *odd_texts(300, 4)])
+
+
+def test_tokens_of_empty_tables(spark):
+    empty = docs_of(spark, [])
+    assert tokencount.count_tokens(empty, tokenizer_file(PIECES)).count() == 0 and bpe.encode_decode(empty, tokenizer_file(WORD_BPE)).count() == 0
+
+
 # ---- html
 
 
