@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back: cuts lineage and survives lost executors.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; what is there is deleted when the driver ends.
 
-    Where the setting is absent (a single machine, tests), a temporary folder is chosen once per session.
+    Only where the setting is absent on a single machine (master local, as in tests), a temporary folder is chosen once per
+    session.  On a cluster that is an error: executors see no folder of the driver.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("placeloom.scratch", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="placeloom-")
         spark.conf.set("placeloom.scratch", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to a fresh scratch path and reads it back: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
