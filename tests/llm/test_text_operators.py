@@ -197,7 +197,7 @@ def test_containment_equals_brute_force(spark):
 def test_shingles_that_all_items_share_make_no_candidates(spark):
     """Items with common words in front: sketches prefer what few items share, and need many hits."""
     common = "please read the following question and choose the one right answer from these four"
-    items = [(j, f"{common} {' '.join(f'w{j}x{k}' for k in range(12))}") for j in range(30)] + [(99, items_text) for items_text in [f"{common} {' '.join(f'w7x{k}' for k in range(12))}"]]
+    items = [(j, f"{common} {' '.join(f'w{j}x{k}' for k in range(16))}") for j in range(30)] + [(99, items_text) for items_text in [f"{common} {' '.join(f'w7x{k}' for k in range(16))}"]]
     frame = spark.createDataFrame(items, "item_id long, text string")
     sketch = decontaminate.sketches(decontaminate.shingled_items(frame))
     shared = {r.h for r in sketch.collect()} & {r.h for r in decontaminate.shingled_items(spark.createDataFrame([(1, common)], "item_id long, text string")).collect()}
