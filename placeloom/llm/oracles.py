@@ -49,22 +49,38 @@ WITH d AS (
           CASE WHEN n_lines > 0 THEN least(100, 100 * n_dup_lines // n_lines) ELSE 0 END, CASE WHEN n_words > 0 THEN least(100, 100 * n_repeat_words // n_words) ELSE 0 END] AS bins
   FROM c
 ), marks AS (
-  SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+  SELECT doc_id, max(quality) AS quality, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') AS chooses
+  FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), labelled AS (
+  SELECT stratum, bins, quality > 0 AS good, chooses FROM s JOIN marks USING (doc_id) WHERE NOT base_failed
 ), scored AS (
-  SELECT stratum, rule, s.bins[rule] AS bin, quality > 0 AS good FROM s JOIN marks USING (doc_id), range(1, 5) AS r(rule) WHERE NOT base_failed
+  SELECT stratum, rule, bins[rule] AS bin, good FROM labelled, range(1, 5) AS r(rule) WHERE chooses
 ), sizes AS (
   SELECT stratum, rule, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS nb FROM scored GROUP BY stratum, rule
 ), cuts AS (
   SELECT stratum, rule, cut, n, nb, (SELECT count(*) FROM scored x WHERE x.stratum = sizes.stratum AND x.rule = sizes.rule AND x.bin >= cut AND good) AS k,
          (SELECT count(*) FROM scored x WHERE x.stratum = sizes.stratum AND x.rule = sizes.rule AND x.bin >= cut AND NOT good) AS b
-  FROM sizes, range(1, 101) AS c(cut)
+  FROM sizes, range(1, 101) AS c(cut) WHERE n > 0 AND nb > 0
+), chosen AS (
+  SELECT stratum, rule, cut, b / nb - k / n / CAST(0.04 AS DOUBLE) AS gain FROM cuts WHERE b / nb - k / n / CAST(0.04 AS DOUBLE) > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cut DESC) = 1
+), path AS (
+  SELECT stratum, rule, cut, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS step FROM chosen
+), tests AS (
+  SELECT row_number() OVER () AS rid, stratum, bins FROM labelled WHERE good AND NOT chooses
+), n_tests AS (
+  SELECT stratum, count(*) AS n FROM tests GROUP BY stratum
+), level AS (
+  SELECT 0.05 / max(r) AS level FROM (SELECT a.stratum, a.n, count(*) AS r FROM n_tests a JOIN n_tests b ON b.n >= a.n GROUP BY a.stratum, a.n) WHERE n * ln(0.96) <= ln(0.05 / r)
+), rejected AS (
+  SELECT rid, t.stratum, min(step) AS first FROM tests t JOIN path ON path.stratum = t.stratum AND t.bins[path.rule] >= path.cut GROUP BY rid, t.stratum
+), lost AS (
+  SELECT p.stratum, p.rule, p.cut, p.step, n, (SELECT count(*) FROM rejected r WHERE r.stratum = p.stratum AND r.first <= p.step) AS k FROM path p JOIN n_tests USING (stratum)
 ), tails AS (
-  SELECT *, CASE WHEN n = 0 OR k >= n * 0.01 THEN 1.0 ELSE
-    (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) FROM range(0, 100000) AS q(i) WHERE i <= k) END AS tail FROM cuts
-), passed AS (
-  SELECT *, b / nb - k / n AS gain FROM tails WHERE b > 0 AND tail <= 0.05 / (4 * greatest(1, (SELECT count(DISTINCT stratum) FROM scored)))
+  SELECT *, CASE WHEN k >= n * 0.04 THEN 1.0 ELSE
+    (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.04) + (n - i) * ln(0.96))) FROM range(0, 100000) AS q(i) WHERE i <= k) END AS tail FROM lost
 ), best AS (
-  SELECT stratum, rule, cut FROM passed WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cut DESC) = 1
+  SELECT stratum, rule, cut FROM tails t WHERE NOT EXISTS (SELECT 1 FROM tails u WHERE u.stratum = t.stratum AND u.step <= t.step AND NOT coalesce(u.tail <= (SELECT level FROM level), false))
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM best WHERE best.stratum = s.stratum AND s.bins[best.rule] >= best.cut) AS kept

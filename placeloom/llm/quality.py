@@ -1,18 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Four rules score a document by an integer from 0 to 100, higher being worse.  For each stratum
-and rule a cutoff is chosen on labelled documents such that, with confidence ``1 - delta`` over
-all strata and rules together, no stratum loses more than ``alpha`` of its good documents:
-
-* ``alpha`` is divided over the rules (a document goes if any rule rejects it),
-* ``delta`` is divided over strata and rules (Bonferroni); within a rule the cutoffs are tested
-  from the mildest on and testing ends at the first that fails, which needs no further division,
-* a cutoff passes if the exact binomial tail P(Bin(n, alpha_rule) <= k) is at most its share of
-  ``delta``, where k of the stratum's n good documents would be rejected.  This is the
-  Clopper-Pearson upper bound being at most ``alpha_rule``.
-
-Of the passing cutoffs the one that separates best is taken (share of bad minus share of good
-documents rejected; the mildest of equals).  If none passes, the rule rejects nothing there.
+cutoffs are chosen such that, with confidence ``1 - delta`` over all strata together, no stratum
+loses more than ``alpha`` of its good documents that pass the base rules to all rules together:
+
+* a quarter of the labelled documents (by a hash of the id) chooses: for each rule the cutoff that
+  rejects most bad documents, good ones weighing ``1 / alpha`` times as much; rules are then put in
+  order of what they gain.  The first rule, the first two and so on are a path of ever stricter
+  unions,
+* the other three quarters test: along the path, the union's rejected good documents k of n must
+  have an exact binomial tail P(Bin(n, alpha) <= k) of at most the stratum's share of ``delta``
+  (the Clopper-Pearson upper bound is then at most ``alpha``).  The first failure ends the path, a
+  fixed sequence, which needs no division of ``delta`` over rules, and ``alpha`` is spent on the
+  union rather than divided,
+* ``delta`` is divided evenly over the strata that have enough good documents to certify anything
+  (their number of test documents, not their scores, decides that).
+
+A stratum without a certified step rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
@@ -99,58 +103,81 @@ def _log_gamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + series - shift
 
 
-def binomial_tail(k: Column, n: Column, p: float, terms: int = 400) -> Column:
-    """P(Bin(n, p) <= k), never too small.
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(Bin(n, p) <= k): all terms from k down are added.
 
-    Terms are added from k downwards while their ratio falls below one; what is left after
-    ``terms`` of them is bounded by the geometric series with the last ratio.  At or above the
-    mean the answer is 1, which is safe for a test against a small level.
+    At or above the mean the answer is 1, which is safe for a test against a small level.
     """
     k, n = k.cast("double"), n.cast("double")
     first = F.exp(_log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p)))
     ratio = lambda i: i * (1 - p) / ((n - i + 1) * p)  # noqa: E731  term(i-1) / term(i)
+    below = F.when((n <= 0) | (k >= n * p), F.lit(0.0)).otherwise(k)  # else nothing is to be added up
     total = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(float(terms))).cast("int")),
+        F.sequence(F.lit(0), below.cast("int")),
         F.struct(first.alias("term"), F.lit(0.0).alias("sum")),
         lambda a, j: F.struct((a["term"] * F.greatest(ratio(k - j), F.lit(0.0))).alias("term"), (a["sum"] + a["term"]).alias("sum")),
     )
-    r = F.least(ratio(F.greatest(k - terms, F.lit(0.0))), F.lit(0.999999))
-    rest = F.when(k > terms, total["term"] / (1 - r)).otherwise(0.0)
-    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), total["sum"] + rest))
+    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), total["sum"]))
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """Cutoffs by stratum from labelled rows: stratum, then a nullable int for each of RULES.
+def chooses(id_col: str = "doc_id") -> Column:
+    """Whether a labelled document is of the quarter that chooses; the others test."""
+    return F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 1).isin("0", "1", "2", "3")
 
-    ``scored``: doc_id, stratum and the rules' scores, of documents that pass the base rules.
-    ``labels``: doc_id, quality.  Null labels are ignored; several labels of a document count
-    once, good if any is.  Rows of ``scored`` that repeat a doc_id count each.  No labels: no rows.
-    """
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])
+
+def paths(labelled: DataFrame, alpha: float) -> DataFrame:
+    """stratum, rule, cut and step (1, 2, ...): the rules in the order in which they are tested, from the choosing quarter."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(r).alias("bin")) for k, r in enumerate(RULES)])
     by_bin = (
-        scored.join(marks, "doc_id")
+        labelled.where("chooses")
         .select("stratum", "good", F.inline(pairs))
         .groupBy("stratum", "rule", "bin")
         .agg(F.sum((F.col("good") > 0).cast("long")).alias("good"), F.sum((F.col("good") <= 0).cast("long")).alias("bad"))
     )
-    by_bin = materialize(by_bin, "quality-bins")
-    tests = len(RULES) * max(1, by_bin.select("stratum").distinct().count())
     # a row for each stratum and rule: counts by bin, of which there are at most 101
     grouped = by_bin.groupBy("stratum", "rule").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", F.struct("good", "bad")))).alias("m"), F.sum("good").alias("n"), F.sum("bad").alias("nb")
     )
     cut = (
-        grouped.select("stratum", "rule", "m", "n", "nb", F.explode(F.sequence(F.lit(1), F.lit(TOP))).alias("cut"))
+        grouped.where("n > 0 AND nb > 0")
+        .select("stratum", "rule", "m", "n", "nb", F.explode(F.sequence(F.lit(1), F.lit(TOP))).alias("cut"))
         .withColumn("over", F.filter(F.map_entries("m"), lambda e: e["key"] >= F.col("cut")))
         .withColumn("k", F.aggregate("over", F.lit(0).cast("long"), lambda a, e: a + e["value"]["good"]))
         .withColumn("b", F.aggregate("over", F.lit(0).cast("long"), lambda a, e: a + e["value"]["bad"]))
-        .where(binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= delta / tests)
-        .where("b > 0")
-        .withColumn("gain", F.col("b") / F.col("nb") - F.col("k") / F.col("n"))
+        .withColumn("gain", F.col("b") / F.col("nb") - F.col("k") / F.col("n") / alpha)
         .where("gain > 0")
     )
-    return cut.groupBy("stratum").pivot("rule", list(RULES)).agg(F.max_by("cut", F.struct("gain", "cut")))
+    best = cut.groupBy("stratum", "rule").agg(F.max_by(F.struct("cut", "gain"), F.struct("gain", "cut")).alias("x"))
+    ranked = best.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct((-F.col("x.gain")).alias("worth"), "rule", F.col("x.cut").alias("cut")))).alias("path"))
+    return ranked.select("stratum", F.posexplode("path").alias("at", "e")).select("stratum", F.col("e.rule").alias("rule"), F.col("e.cut").alias("cut"), (F.col("at") + 1).alias("step"))
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
+    """Certified cutoffs by stratum from labelled rows: stratum, then a nullable int for each of RULES.
+
+    ``scored``: doc_id, stratum and the rules' scores, of documents that pass the base rules.
+    ``labels``: doc_id, quality.  Null labels are ignored; several labels of a document count
+    once, good if any is.  Rows of ``scored`` that repeat a doc_id count each.  No labels: no rows.
+    """
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    labelled = materialize(scored.join(marks, "doc_id").select("stratum", "good", chooses().alias("chooses"), *RULES), "quality-labelled")
+    path = materialize(paths(labelled, alpha), "quality-paths")
+    tests = labelled.where("NOT chooses AND good > 0")
+    sizes = tests.groupBy("stratum").agg(F.count("*").alias("n"))
+    # the most strata that can all certify something at an even share of delta; there are as many as values of the stratum
+    able = sizes.where(F.col("n") * F.log(F.lit(1 - alpha)) <= F.log(F.lit(delta)))
+    ranks = able.alias("a").join(able.alias("b"), F.col("b.n") >= F.col("a.n")).groupBy("a.stratum", "a.n").agg(F.count("*").alias("rank"))
+    level = ranks.where(F.col("n") * F.log(F.lit(1 - alpha)) <= F.log(F.lit(delta) / F.col("rank"))).agg((F.lit(delta) / F.max("rank")).alias("level"))
+    # the step of the path that first rejects each good test document
+    wide = path.groupBy("stratum").agg(F.collect_list(F.struct("rule", "cut", "step")).alias("path"))
+    bins_ = F.array(*[F.col(r) for r in RULES])
+    first = F.array_min(F.transform(F.filter("path", lambda e: bins_[e["rule"]] >= e["cut"]), lambda e: e["step"]))
+    counted = tests.join(wide, "stratum").select("stratum", first.alias("first")).groupBy("stratum", "first").agg(F.count("*").alias("k"))
+    lost = path.join(counted, "stratum", "left").groupBy("stratum", "rule", "cut", "step").agg(F.coalesce(F.sum(F.when(F.col("first") <= F.col("step"), F.col("k"))), F.lit(0)).alias("k"))
+    tested = lost.join(sizes, "stratum").crossJoin(level).withColumn("passed", binomial_tail(F.col("k"), F.col("n"), alpha) <= F.col("level"))
+    end = tested.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.coalesce("passed", F.lit(False)), F.col("step"))), F.lit(len(RULES) + 1)).alias("end"))
+    sure = tested.join(end, "stratum").where("step < end").withColumn("rule", F.element_at(F.array(*[F.lit(r) for r in RULES]), F.col("rule") + 1))
+    return sure.groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cut"))
 
 
 def verdict() -> Column:

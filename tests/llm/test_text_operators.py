@@ -1,6 +1,7 @@
 """The language-model operators against brute force, exact round trips and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -98,6 +99,9 @@ def test_binomial_tail(spark):
         want = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if k < n * p else 1.0
         got = spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), p).alias("t")).first().t
         assert got == pytest.approx(want, rel=1e-9)
+    k, n, p = 900, 50_000, 0.02  # many terms
+    want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+    assert spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), p).alias("t")).first().t == pytest.approx(want, rel=1e-7)
 
 
 def test_cutoffs_reject_junk_and_limit_false_rejections(spark):
@@ -117,6 +121,27 @@ def test_cutoffs_reject_junk_and_limit_false_rejections(spark):
     assert few.where("NOT kept").count() == 0
 
 
+def test_false_rejections_stay_under_the_bound(spark):
+    """200 random samples (as strata) of a population whose rules do reject good documents: few certified unions lose more than alpha.
+
+    delta is a twentieth for each stratum.  A good document's scores are independent and uniform on 0..100, so a union's true
+    risk follows from its cutoffs; bad ones score high in two rules.
+    """
+    rng = np.random.default_rng(7)
+    n, strata, alpha = 400, 200, 0.2
+    rows = n * strata
+    bad = rng.random(rows) < 0.3
+    scores = rng.integers(0, 101, (rows, 4))
+    scores[bad, 0] = rng.integers(70, 101, bad.sum())
+    scores[bad, 2] = rng.integers(80, 101, bad.sum())
+    schema = "doc_id long, stratum string, symbols int, capitals int, lines int, repeats int"
+    scored = spark.createDataFrame([(i, f"={i % strata}", *map(int, scores[i])) for i in range(rows)], schema)
+    labels = spark.createDataFrame([(i, int(not bad[i])) for i in range(rows)], "doc_id long, quality int")
+    cuts = quality.thresholds(scored, labels, alpha=alpha, delta=0.05 * strata).collect()
+    risks = [1 - np.prod([(r[rule] or 101) / 101 for rule in quality.RULES]) for r in cuts]
+    assert len(risks) > 60 and sum(r > alpha for r in risks) <= 0.05 * strata + 8, (len(risks), sum(r > alpha for r in risks))
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(None, 1), (1, None), (4, 1)], "doc_id long, quality int")
     r = quality.assess(docs_of(spark, ODD), labels)
