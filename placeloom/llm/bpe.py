@@ -5,11 +5,13 @@ passages of different documents fall into equal chunks whatever surrounds them.
 words (between its first and last white space) are encoded once and reused.  What is open at the
 join of two chunks - the end of one and the start of the next - is repaired by re-encoding the
 word it forms.  The repair is accepted only if encoding it together with the words on either side
-gives exactly the ids put together; otherwise the window grows to the whole document.
+gives exactly the ids put together; otherwise the window doubles, until its outer words agree with
+their own encoding or it is the whole document.
 
-Chunks are kept in each Python worker, in two generations of bounded bytes; a lost executor loses
-nothing but the reuse.  Below the chunks, words are kept in the same way: white space always ends
-a word for this tokenizer (it is dropped before the merges), so a new chunk is encoded from its words.
+Chunks are kept in each Python worker, in two generations of bounded bytes, the only chunk of a
+short text too; a lost executor loses nothing but the reuse.  ``ChunkEncoder.served`` counts the
+bytes that came from kept chunks.  Within a new chunk, words are kept in the same way: white space
+always ends a word for this tokenizer (it is dropped before the merges).
 """
 
 from __future__ import annotations
@@ -74,6 +76,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.words, self.chunks = Kept(cache_mb * 1_000_000 * 3 // 4), Kept(cache_mb * 1_000_000 // 4)
         self.fresh: dict[bytes, tuple] = {}
+        self.served = self.seen = 0  # bytes from kept chunks, and all
 
     def encode_plain(self, data: bytes) -> tuple:
         return self.piece(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids)
@@ -154,6 +157,25 @@ class ChunkEncoder:
         apart = b"".join([self.fresh[w][0] for w in around])
         return own if self.spaced(window, "")[0] == apart else None
 
+    def repair(self, data: bytes, at: int) -> tuple:
+        """The whole text's piece, where the word across byte ``at`` doesn't agree with its neighbours.
+
+        The window of words that is encoded together doubles until the words at its ends come out
+        as they do alone (or the text ends there); what is outside is put together from words.
+        """
+        words = data.split()
+        self.learn(set(words))
+        place, size = max(0, len(data[:at].split()) - 1), 1
+        while True:
+            lo, hi = max(0, place - size), min(len(words), place + size + 1)
+            inner = self.encode_plain(b" ".join(words[lo:hi]))
+            left = lo == 0 or inner[0].startswith(self.fresh[words[lo]][0])
+            right = hi == len(words) or (b" " + inner[0]).endswith(b" " + self.fresh[words[hi - 1]][0])
+            if left and right or lo == 0 and hi == len(words):
+                parts = self.gather(words[:lo]), inner, self.gather(words[hi:])
+                return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+            size *= 2
+
     def encode(self, texts: list[str | None]) -> list[tuple]:
         """(number of ids, ids, decoded text) of each text; null is as empty."""
         plans, need = [], set()
@@ -161,14 +183,16 @@ class ChunkEncoder:
             data = (t or "").encode()
             cuts = cut_points(data).tolist()
             plan, chunks = [], [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+            self.seen += len(data)
             for c in chunks:
-                kept = self.chunks.get(c) if len(chunks) > 1 else None
+                kept = self.chunks.get(c)
                 if kept is None:
                     head, inner, tail = self.parts(c)
                     if inner:
                         need.update(inner)
                     plan.append((c, head, inner, tail))
                 else:
+                    self.served += len(c)
                     plan.append((c, *kept))
             # the words at the joins, with what is on their left and right
             joins, open_, left = [], b"", b""
@@ -183,20 +207,23 @@ class ChunkEncoder:
             joins.append((len(plan), left, open_, b"", False))
             for _, a, w, b, _ in joins:
                 need.update(x for x in (a, w, b) if x)
-            plans.append((data, plan, joins, len(chunks) > 1))
+            plans.append((data, plan, joins))
         self.learn(need)
+        known = self.fresh
         out = []
-        for data, plan, joins, many in plans:
-            pieces, at = [], 0
+        for data, plan, joins in plans:
+            self.fresh = known
+            pieces, at, failed, end = [], 0, [], 0
             for k, (c, head, inner, tail, *rest) in enumerate([*plan, (b"", b"", None, b"")]):
                 if at < len(joins) and joins[at][0] == k:
                     _, a, w, b, across = joins[at]
                     at += 1
                     piece = (self.join(a, w, b) if across else self.fresh[w]) if w else (b"", b"")
                     if piece is None:
-                        pieces = [self.encode_plain(data)]
-                        break
+                        failed.append(end)
+                        piece = (b"", b"")
                     pieces.append(piece)
+                end += len(c)
                 if inner is None:
                     continue
                 if rest:
@@ -204,9 +231,10 @@ class ChunkEncoder:
                 else:
                     body = self.gather(inner)
                     pieces.append(body)
-                    if many:
-                        kept = (head, (), tail, body, (inner[0], inner[-1]) if inner else (b"", b""))
-                        self.chunks.put(c, kept, 2 * len(c) + len(body[0]) + len(body[1]) + 500)
+                    kept = (head, (), tail, body, (inner[0], inner[-1]) if inner else (b"", b""))
+                    self.chunks.put(c, kept, 2 * len(c) + len(body[0]) + len(body[1]) + 500)
+            if failed:
+                pieces = [self.repair(data, failed[0]) if len(failed) == 1 else self.encode_plain(data)]
             ids = b"".join([p[0] for p in pieces])
             out.append((ids.count(b" "), ids[:-1], b"".join([p[1] for p in pieces])[:-1]))
         return out

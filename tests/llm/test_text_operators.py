@@ -514,6 +514,43 @@ def test_chunks_are_shared_and_joins_repaired():
     assert len(pieces[0] & pieces[1]) > 0.5 * len(pieces[0])
 
 
+def test_repeated_content_is_served_from_chunks():
+    """What one worker has seen before comes from its chunks: the share of repeated chunks, whole copies of short texts included."""
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    passage = text(900)
+    texts = [text(rng.randint(5, 600)) for _ in range(60)]
+    texts = [t for k, t in enumerate(texts) for t in ([t, t] if k % 3 == 0 else [f"{t} {passage} {text(30)}"] if k % 3 == 1 else [t])]
+    encoder = bpe.ChunkEncoder(tokenizer_file(WORD_BPE))
+    got = [x for t in texts for x in encoder.encode([t])]
+    seen, repeated = set(), 0
+    for t in texts:
+        data = t.encode()
+        c = bpe.cut_points(data).tolist()
+        for x, y in zip([0, *c], [*c, len(data)]):
+            repeated += (y - x) * (data[x:y] in seen)
+            seen.add(data[x:y])
+    assert encoder.served == repeated > 0.1 * encoder.seen
+    assert [ids.decode() for _, ids, _ in got] == [" ".join(map(str, encoder.tokenizer.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
+def test_joins_that_disagree_are_repaired_in_growing_windows(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000))
+    encoder = bpe.ChunkEncoder(tokenizer_file(WORD_BPE))
+    want = " ".join(map(str, encoder.tokenizer.encode(text, add_special_tokens=False).ids)).encode()
+    calls = []
+    plain, joined = encoder.encode_plain, encoder.join
+    monkeypatch.setattr(encoder, "encode_plain", lambda data: calls.append(len(data)) or plain(data))
+    tried = []
+    monkeypatch.setattr(encoder, "join", lambda a, w, b: tried.append(w) or (None if len(tried) == 2 else joined(a, w, b)))
+    assert encoder.encode([text])[0][1] == want and len(tried) > 2 and max(calls) < 200  # a window, not the whole text
+    encoder.fresh = {}
+    rounds = []
+    monkeypatch.setattr(encoder, "encode_plain", lambda data: (rounds.append(data.count(b" ") + 1), (plain(data) if len(rounds) > 3 else (b"0 " + plain(data)[0], b"")))[1])
+    assert encoder.repair(text.encode(), len(text) // 2)[0][:-1] == want and rounds == [3, 5, 9, 17]
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece as spm
     from sentencepiece import sentencepiece_model_pb2 as pb
