@@ -536,7 +536,7 @@ def test_repeated_content_is_served_from_chunks():
 
 def test_joins_that_disagree_are_repaired_in_growing_windows(monkeypatch):
     rng = random.Random(5)
-    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000))
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(20_000))
     encoder = bpe.ChunkEncoder(tokenizer_file(WORD_BPE))
     want = " ".join(map(str, encoder.tokenizer.encode(text, add_special_tokens=False).ids)).encode()
     calls = []
