@@ -144,7 +144,7 @@ def areas(objects: DataFrame, attached: DataFrame, nodes: DataFrame, edges: Data
     kept = seg.join(spatial.crossing(lines, gates, margin, kept=True).select("key"), "key", "left_semi").select("source_id", "target_id")
     inner = objects.where(~F.col("label").isin(*drop)).select("uid", *XYZ)
     at = materialize(anchors(inner, attached, nodes, gates, margin), "areas")
-    paths = materialize(graph.shortest(graph.weighted(kept, nodes), at.select(F.col("node").alias("src")).distinct()), "areas")
+    paths = materialize(graph.shortest(graph.weighted(kept, nodes), at.select(F.col("node").alias("src")), at.select("node")), "areas")
     dist = materialize(graph.set_distances(at, paths), "areas")
     label = clusters.linkage_clusters(inner.select(F.col("uid").alias("id")), dist, d_max, linkage)
     members = label.join(inner.withColumnRenamed("uid", "id"), "id")

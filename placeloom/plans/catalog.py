@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placeloom.functions import geo, vector
 from placeloom.functions import tags as T
 from placeloom.operators import clouds, clusters, graph, hierarchy, ranking, resolve, spatial, tracks
+from placeloom.operators.store import materialize
 from placeloom.plans import planner, scene
 from placeloom.sources import maps
 
@@ -542,7 +543,7 @@ def x15_x27_geodesic_floor(spark, d):
 @query()
 def x22_stub_embedding(spark, d):
     labels = scene.votes(spark, d).select("label").distinct()
-    return planner.encode_distinct(labels, "label", planner.HashEncoder(16)).select("label", F.size("embedding").alias("size"), r4(F.col("embedding")[0].cast("double"), "e0"))
+    return planner.encode_distinct(labels, "label", planner.HashEncoder()).select("label", F.size("embedding").alias("size"), r4(F.col("embedding")[0].cast("double"), "e0"))
 
 
 # ---- top-k, sets
@@ -596,28 +597,36 @@ def g2_weighted_edges(spark, d):
     return graph.weighted(edges, nodes).select("u", "v", r4("w"))
 
 
-START = "(SELECT min(session) FROM route_nodes)"
+#: The routes of all sessions, joined where they come near each other, and the distances from the first node.
+NETWORK = """, near AS (SELECT a.id AS u, b.id AS v FROM route_nodes a JOIN route_nodes b ON a.ord < b.ord AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 2.0003 AND NOT (a.session = b.session AND abs(a.seq - b.seq) < 15)),
+ one AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM (SELECT u, v FROM near UNION ALL SELECT source_id, target_id FROM route_edges)),
+ net AS MATERIALIZED (SELECT o.u, o.v, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS w FROM one o JOIN route_nodes a ON a.id = o.u JOIN route_nodes b ON b.id = o.v),
+ ways AS MATERIALIZED (SELECT u, v, w FROM net UNION ALL SELECT v, u, w FROM net)"""
+REACH = """, far(node, dist) USING KEY (node) AS (SELECT id, CAST(0 AS DOUBLE) FROM route_nodes WHERE ord = (SELECT min(ord) FROM route_nodes)
+ UNION SELECT e.v, min(f.dist + e.w) FROM far f JOIN ways e ON e.u = f.node LEFT JOIN recurring.far k ON k.node = e.v GROUP BY e.v HAVING min(f.dist + e.w) < coalesce(min(k.dist), 1e300))"""
+RR = R.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _first_session(spark, d):
+def _network(spark, d):
+    """(nodes, weighted edges, the first node) of all sessions' routes with the edges where they come near each other."""
     nodes, edges = scene.route(spark, d)
-    low = nodes.agg(F.min("session")).first()[0]
-    return nodes.where(F.col("session") == low), edges, f"{low}_0"
+    near = spatial.proximity_pairs(nodes, edges, 2.0003, 15).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
+    first = nodes.agg(F.min_by("id", "ord").alias("src"))
+    return nodes, materialize(graph.weighted(edges.unionByName(near), nodes), "network"), first
 
 
-@query(R + f""", st AS (SELECT n.id, n.seq, n.x, n.y, sqrt(power(n.x - lag(n.x) OVER (ORDER BY n.seq), 2) + power(n.y - lag(n.y) OVER (ORDER BY n.seq), 2)) AS step FROM route_nodes n WHERE session = {START})
- SELECT id AS node, round(coalesce(sum(step) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING), 0), 4) AS dist FROM st""")
+@query(RR + NETWORK + REACH + " SELECT node, round(dist, 4) AS dist FROM far")
 def g3_shortest_paths(spark, d):
-    nodes, edges, start = _first_session(spark, d)
-    tree = graph.shortest(graph.weighted(edges, nodes), spark.createDataFrame([(start,)], "src string"))
-    return tree.select("node", r4("dist"))
+    _, edges, first = _network(spark, d)
+    return graph.shortest(edges, first).select("node", r4("dist"))
 
 
-@query(R + f" SELECT id AS node, CAST(max(seq) OVER () - seq AS INTEGER) // 5 AS step FROM route_nodes WHERE session = {START}")
+@query(RR + NETWORK + REACH + """, pred AS (SELECT e.v AS node, arg_min(e.u, (f.dist + e.w, e.u)) AS pred FROM ways e JOIN far f ON f.node = e.u GROUP BY e.v),
+ path(node, step) AS (SELECT arg_max(node, (dist, node)), 0 FROM far UNION ALL SELECT p.pred, path.step + 1 FROM path JOIN pred p ON p.node = path.node WHERE path.node <> (SELECT min_by(id, ord) FROM route_nodes)) SELECT node, step FROM path""")
 def g4_path_nodes(spark, d):
-    nodes, edges, start = _first_session(spark, d)
-    tree = graph.shortest(graph.weighted(edges, nodes), spark.createDataFrame([(start,)], "src string"))
-    end = nodes.orderBy(F.desc("seq")).select(F.lit(start).alias("src"), F.col("id").alias("target")).limit(1)
+    _, edges, first = _network(spark, d)
+    tree = materialize(graph.shortest(edges, first), "tree")
+    end = tree.groupBy("src").agg(F.max_by("node", F.struct("dist", "node")).alias("target"))
     return graph.path_nodes(tree, end).select("node", "step")
 
 
@@ -690,7 +699,7 @@ def e3_overlap_merge(spark, d):
 def e8_plan_route(spark, d):
     nodes, edges = scene.route(spark, d)
     plan = planner.plan_route(scene.areas(spark, d), _query_vector(spark, d), (0.0, 0.0, 0.0), nodes, graph.weighted(edges, nodes))
-    return plan.select("leg", "uid", "from_node", "to_node", r4("length"))
+    return plan.select("leg", "uid", "from_node", "to_node", r4("length"), "path_nodes", r4("total"))
 
 
 # ---- streams' batch twins, sinks

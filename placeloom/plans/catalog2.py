@@ -10,12 +10,9 @@ from placeloom.functions import tags as T
 from placeloom.operators import align, clouds, clusters, graph, network, ranking, resolve, spatial, tracks
 from placeloom.operators.store import materialize
 from placeloom.plans import planner, scene
-from placeloom.plans.catalog import CLASSIFY, DIST, G, O, OV, P, R, STEPS, A, query, r4
+from placeloom.plans.catalog import CLASSIFY, DIST, G, NETWORK, O, OV, P, R, REACH, RR, STEPS, A, _network, query, r4
 from placeloom.sources import maps
 
-START = "(SELECT min(session) FROM route_nodes)"
-
-
 # ---- joins
 
 @query(R + f""", o AS (SELECT vec_id AS uid, 20.0 * CAST(embedding[1] AS DOUBLE) AS x, 20.0 * CAST(embedding[2] AS DOUBLE) AS y, 20.0 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
@@ -30,17 +27,9 @@ def j9_attachment_fallback(spark, d):
     return network.anchors(o, att.join(o.select("uid"), "uid", "left_semi"), nodes, none).select(F.col("key").alias("uid"), "node")
 
 
-@query(A + f""", p AS (SELECT session, seq, x, y, z FROM ({scene.POSES_SQL[len('poses AS ('):-1]}) WHERE seq = 20),
- m AS (SELECT a.session, b.label, row_number() OVER (PARTITION BY a.session ORDER BY {DIST}, b.label) AS k FROM p a, areas b) SELECT session, label FROM m WHERE k = 1""")
-def j10_nearest_area(spark, d):
-    a = scene.areas(spark, d)
-    p = scene.poses(spark, d).where("seq = 20").select("session", *"xyz")
-    return spatial.nearest(p, a, "session", "label", "label", 4.0).select("session", "label")
-
-
 @query(A + f""", p AS (SELECT session, seq, x, y, z FROM ({scene.POSES_SQL[len('poses AS ('):-1]})),
  m AS (SELECT a.session, a.seq, b.label, row_number() OVER (PARTITION BY a.session, a.seq ORDER BY {DIST}, b.label) AS k FROM p a, areas b) SELECT session, seq, label FROM m WHERE k = 1""")
-def j10_nearest_area_whole(spark, d):
+def j10_nearest_area(spark, d):
     p = scene.poses(spark, d).withColumn("pose", F.struct("session", "seq"))
     return spatial.nearest(p, scene.areas(spark, d), "pose", "label", "label", 4.0).select("pose.session", "pose.seq", "label")
 
@@ -76,11 +65,12 @@ def j18_crops_per_track(spark, d):
     return own.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("k <= 3").select("user_id", "event_id")
 
 
-@query(O + f" SELECT a.uid AS i, b.uid AS j, round({DIST}, 4) AS dist FROM objects a JOIN objects b ON a.uid < b.uid WHERE a.label = 'L1' AND b.label = 'L1'")
+@query(O + f" SELECT a.uid AS i, b.uid AS j, round({DIST}, 4) AS dist FROM objects a JOIN objects b ON a.label = b.label AND a.uid < b.uid")
 def j20_pair_distances(spark, d):
-    o = scene.objects(spark, d).where("label = 'L1'").select("uid", *"xyz")
+    """The distance matrix of each label's objects."""
+    o = scene.objects(spark, d).select("uid", "label", *"xyz")
     a, b = o.alias("a"), o.alias("b")
-    return a.join(b, F.col("a.uid") < F.col("b.uid")).select(F.col("a.uid").alias("i"), F.col("b.uid").alias("j"), r4(vector.distance(*[(f"a.{c}", f"b.{c}") for c in "xyz"]), "dist"))
+    return a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.uid") < F.col("b.uid"))).select(F.col("a.uid").alias("i"), F.col("b.uid").alias("j"), r4(vector.distance(*[(f"a.{c}", f"b.{c}") for c in "xyz"]), "dist"))
 
 
 # ---- aggregations
@@ -150,15 +140,8 @@ def x4_transform_object(spark, d):
     return scene.objects(spark, d).select("uid", r4(s.apply([F.col(c) for c in "xyz"])[0], "x"), r4(s.scale * F.col("hx"), "hx"), r4(q[2], "qz"))
 
 
-@query(O + " SELECT uid, round((uid % 640 - 320) * hx / 300, 4) AS x, round((uid % 480 - 240) * hx / 300, 4) AS y, round(hx, 4) AS z FROM objects WHERE uid % 4 = 0")
-def x7_unproject(spark, d):
-    u, v = F.col("uid") % 640, F.col("uid") % 480
-    p = geo.unproject(u, v, F.col("hx"), F.lit(300.0), F.lit(300.0), F.lit(320.0), F.lit(240.0))
-    return scene.objects(spark, d).where("uid % 4 = 0").select("uid", *[r4(c, n) for c, n in zip(p, "xyz")])
-
-
 @query(O + " SELECT uid, round((uid % 640 - 320) * hx / 300, 4) AS x, round((uid % 480 - 240) * hx / 300, 4) AS y, round(hx, 4) AS z FROM objects")
-def x7_unproject_whole(spark, d):
+def x7_unproject(spark, d):
     u, v = F.col("uid") % 640, F.col("uid") % 480
     p = geo.unproject(u, v, F.col("hx"), F.lit(300.0), F.lit(300.0), F.lit(320.0), F.lit(240.0))
     return scene.objects(spark, d).select("uid", *[r4(c, n) for c, n in zip(p, "xyz")])
@@ -181,16 +164,8 @@ def x17_node_ids(spark, d):
     return scene.objects(spark, d).select("uid", F.concat(F.lit("nav_"), F.lpad(F.col("uid").cast("string"), 4, "0")).alias("id"))
 
 
-@query("SELECT item_id, replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM benchmark")
-def x19_html_escape(spark, d):
-    e = F.left(F.col("text"), F.lit(60))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        e = F.replace(e, F.lit(a), F.lit(b))
-    return scene.read(spark, d, "benchmark").select("item_id", e.alias("html"))
-
-
 @query("SELECT item_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM benchmark")
-def x19_html_escape_whole(spark, d):
+def x19_html_escape(spark, d):
     e = F.col("text")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         e = F.replace(e, F.lit(a), F.lit(b))
@@ -252,14 +227,15 @@ def u3_reconcile_partitions(spark, d):
 
 # ---- graphs
 
-@query(R + f""", f AS (SELECT * FROM route_nodes WHERE session = {START}), s AS (SELECT *, coalesce(sum(sqrt(power(x - px, 2) + power(y - py, 2))) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS s FROM (SELECT *, lag(x) OVER (ORDER BY seq) AS px, lag(y) OVER (ORDER BY seq) AS py FROM f)),
- a AS (SELECT seq % 3 AS key, id, s, 0.1 * (seq % 4) AS o FROM s), p AS (SELECT a.key AS i, b.key AS j, a.o + abs(a.s - b.s) + b.o AS d FROM a, a b WHERE a.key < b.key) SELECT i, j, round(min(d), 4) AS dist FROM p GROUP BY 1, 2""")
+@query(RR + NETWORK + """, a AS (SELECT session AS key, id, 0.1 * (seq % 4) AS o FROM route_nodes WHERE seq % 40 = 0),
+ far(src, node, dist) USING KEY (src, node) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM a
+  UNION SELECT f.src, e.v, min(f.dist + e.w) FROM far f JOIN ways e ON e.u = f.node LEFT JOIN recurring.far k ON k.src = f.src AND k.node = e.v GROUP BY f.src, e.v HAVING min(f.dist + e.w) < coalesce(min(k.dist), 1e300))
+ SELECT p.key AS i, q.key AS j, round(min(p.o + f.dist + q.o), 4) AS dist FROM far f JOIN a p ON p.id = f.src JOIN a q ON q.id = f.node WHERE p.key < q.key GROUP BY 1, 2""")
 def g6_set_distances(spark, d):
-    nodes, edges = scene.route(spark, d)
-    low = nodes.agg(F.min("session")).first()[0]
-    own = nodes.where(F.col("session") == low)
-    paths = graph.shortest(graph.weighted(edges, own), own.select(F.col("id").alias("src")))
-    anchors = own.select((F.col("seq") % 3).alias("key"), F.col("id").alias("node"), (0.1 * (F.col("seq") % 4)).alias("offset"))
+    """Every session has anchors at each eighth node of its route; distances between the sessions' anchors over the whole network."""
+    nodes, edges, _ = _network(spark, d)
+    anchors = nodes.where("seq % 40 = 0").select(F.col("session").alias("key"), F.col("id").alias("node"), (0.1 * (F.col("seq") % 4)).alias("offset"))
+    paths = graph.shortest(edges, anchors.select(F.col("node").alias("src")), anchors.select("node"))
     return graph.set_distances(anchors, paths).select("i", "j", r4("dist"))
 
 
@@ -270,19 +246,9 @@ def g8_component_count(spark, d):
     return parts.agg(F.count_distinct("component").alias("n"))
 
 
-@query(R + f""", o AS (SELECT vec_id AS uid, 20.0 * CAST(embedding[1] AS DOUBLE) AS x, 20.0 * CAST(embedding[2] AS DOUBLE) AS y, 20.0 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id < 50),
- m AS (SELECT a.uid, b.id AS node, row_number() OVER (PARTITION BY a.uid ORDER BY {DIST}, b.ord) AS k FROM o a, route_nodes b) SELECT 'poi_' || uid AS source_id, node AS target_id FROM m WHERE k = 1""")
-def g9_add_places(spark, d):
-    nodes, edges = scene.route(spark, d)
-    places = scene.objects(spark, d).where("uid < 50").select("uid", *"xyz")
-    # the nodes keep their order column for ties
-    _, out = network.add_places(nodes, edges, places)
-    return out.where("source_id LIKE 'poi_%'")
-
-
 @query(R + f""", o AS (SELECT vec_id AS uid, 20.0 * CAST(embedding[1] AS DOUBLE) AS x, 20.0 * CAST(embedding[2] AS DOUBLE) AS y, 20.0 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
  m AS (SELECT a.uid, b.id AS node, row_number() OVER (PARTITION BY a.uid ORDER BY {DIST}, b.ord) AS k FROM o a, route_nodes b) SELECT 'poi_' || uid AS source_id, node AS target_id FROM m WHERE k = 1""")
-def g9_add_places_whole(spark, d):
+def g9_add_places(spark, d):
     nodes, edges = scene.route(spark, d)
     _, out = network.add_places(nodes, edges, scene.objects(spark, d).select("uid", *"xyz"))
     return out.where("source_id LIKE 'poi_%'")
@@ -350,15 +316,8 @@ def k6_phase_counts(spark, d):
     return scene.tagged(spark, d).agg(F.count_if(role == "structure").alias("structures"), F.count_if(role != "structure").alias("regions"), F.count("*").alias("features"))
 
 
-@query(G + f""", {CLASSIFY} SELECT uid, rule = 'none' AS open FROM c WHERE uid % 10 = 0""")
-def k4_annotations(spark, d):
-    t = scene.tagged(spark, d).select("uid", T.classify(F.col("tags")).alias("c"))
-    t = t.select("uid", "c.role", "c.category", "c.function", "c.name", F.col("c.desc").alias("description"))
-    return maps.annotations(t).where("uid % 10 = 0").select("uid", (F.col("role") == "unclassified").alias("open"))
-
-
 @query(G + f""", {CLASSIFY} SELECT uid, rule = 'none' AS open FROM c""")
-def k4_annotations_whole(spark, d):
+def k4_annotations(spark, d):
     t = scene.tagged(spark, d).select("uid", T.classify(F.col("tags")).alias("c"))
     t = t.select("uid", "c.role", "c.category", "c.function", "c.name", F.col("c.desc").alias("description"))
     return maps.annotations(t).select("uid", (F.col("role") == "unclassified").alias("open"))
@@ -414,17 +373,11 @@ def v3_display_extent(spark, d):
     return scene.objects(spark, d).agg(F.greatest(F.lit(500.0), F.max(F.greatest(F.abs("x"), F.abs("y")))).alias("extent"))
 
 
-@query(R + f""", f AS (SELECT * FROM route_nodes WHERE session = {START}), s AS (SELECT id, coalesce(sum(sqrt(power(x - px, 2) + power(y - py, 2))) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS s FROM (SELECT *, lag(x) OVER (ORDER BY seq) AS px, lag(y) OVER (ORDER BY seq) AS py FROM f))
- SELECT id AS node, round(s / max(s) OVER (), 4) AS heat FROM s""")
+@query(RR + NETWORK + REACH + " SELECT node, round(dist / max(dist) OVER (), 4) AS heat FROM far")
 def v4_geodesic_heat(spark, d):
-    nodes, edges = scene.route(spark, d)
-    low = nodes.agg(F.min("session")).first()[0]
-    own = nodes.where(F.col("session") == low)
-    tree = materialize(graph.shortest(graph.weighted(edges, own), spark.createDataFrame([(f"{low}_0",)], "src string")), "heat")
-    top = tree.agg(F.max("dist")).first()[0]
-    return tree.select("node", r4(F.col("dist") / F.lit(top), "heat"))
-
-
+    _, edges, first = _network(spark, d)
+    tree = materialize(graph.shortest(edges, first), "heat")
+    return tree.crossJoin(tree.agg(F.max("dist").alias("top"))).select("node", r4(F.col("dist") / F.col("top"), "heat"))
 
 
 @query()

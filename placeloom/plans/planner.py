@@ -28,14 +28,14 @@ class Encoder(Protocol):
 class HashEncoder:
     """Deterministic stand-in: a text's hash seeds a normal vector, scaled to unit length."""
 
-    def __init__(self, size: int = 64):
+    def __init__(self, size: int = 512):
         self.model_id, self.size = f"hash-{size}", size
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.empty((len(texts), self.size), np.float32)
         for row, t in zip(out, texts):
-            seed = int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "little")
-            v = np.random.Generator(np.random.PCG64(seed)).standard_normal(self.size)
+            seed = int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big")
+            v = np.random.default_rng(seed).standard_normal(self.size).astype(np.float32)
             row[:] = v / np.linalg.norm(v)
         return out
 
@@ -114,33 +114,39 @@ def attach(places: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def route_lengths(stops: DataFrame, anchors: DataFrame, edges: DataFrame, source: str = "src") -> DataFrame:
     """(uid, dist) walked from the node ``source`` to each place; unreachable places have no row."""
-    tree = graph.shortest(edges, stops.select(F.col(source).alias("src")).distinct())
+    tree = graph.shortest(edges, stops.select(F.col(source).alias("src")), anchors.select("node"))
     return anchors.join(tree, anchors["node"] == tree["node"]).select("uid", "src", "dist")
 
 
 def plan_route(areas: DataFrame, query: list[float], robot: tuple[float, float, float], nodes: DataFrame, edges: DataFrame, k: int = 5, orderer: Orderer = by_score) -> DataFrame:
-    """leg, uid, from_node, to_node, length: the shortlist in visiting order and the walk between its stops.
+    """leg, uid, from_node, to_node, length, path_nodes, total: the shortlist in visiting order and the walk between its stops.
 
-    A leg without a path is left out and the next one starts where the last reached stop was.
+    path_nodes runs from from_node to to_node; total is the length walked up to the leg's end.  A
+    leg without a path is left out and the next one starts where the last reached stop was.
     """
     spark = areas.sparkSession
     found = hierarchy.descend(areas, query, robot, k=k).collect()  # at most k rows
     order = [u for u in order_route([r.asDict() for r in found], orderer) if u != REQUESTER]
-    schema = "leg int, uid long, from_node string, to_node string, length double"
+    schema = "leg int, uid long, from_node string, to_node string, length double, path_nodes array<string>, total double"
     if not order:
         return spark.createDataFrame([], schema)
     places = areas.where(F.col("uid").isin(order)).select("uid", "x", "y", "z").unionByName(spark.createDataFrame([(-1, *map(float, robot))], "uid long, x double, y double, z double"))
     node_of = {r.uid: r.node for r in attach(places, nodes).collect()}  # the stops
     sources = spark.createDataFrame([(n,) for n in sorted(set(node_of.values()))], "src string")
-    tree = materialize(graph.shortest(edges, sources).join(sources.withColumnRenamed("src", "node"), "node", "left_semi"), "plan")
-    dist = {(r.src, r.node): r.dist for r in tree.collect()}  # stops by stops
-    legs, at = [], node_of[-1]
+    tree = materialize(graph.shortest(edges, sources), "plan")
+    dist = {(r.src, r.node): r.dist for r in tree.join(sources.withColumnRenamed("src", "node"), "node", "left_semi").collect()}  # stops by stops
+    legs, at, total = [], node_of[-1], 0.0
     for u in order:
         to = node_of.get(u)
         if (length := dist.get((at, to))) is not None:
-            legs.append((len(legs), u, at, to, float(length)))
+            total += length
+            legs.append((len(legs), u, at, to, float(length), total))
             at = to
-    return spark.createDataFrame(legs, schema)
+    walked = spark.createDataFrame(legs, "leg int, uid long, from_node string, to_node string, length double, total double")
+    steps = graph.path_nodes(tree, walked.select(F.col("from_node").alias("src"), F.col("to_node").alias("target")))
+    paths = steps.groupBy("src", "target").agg(F.reverse(F.array_sort(F.collect_list(F.struct("step", "node")))).alias("p"))
+    paths = paths.select(F.col("src").alias("from_node"), F.col("target").alias("to_node"), F.transform("p", lambda x: x["node"]).alias("path_nodes"))
+    return walked.join(paths, ["from_node", "to_node"]).select("leg", "uid", "from_node", "to_node", "length", "path_nodes", "total")
 
 
 def plan_iteratively(areas: DataFrame, query: list[float], robot: tuple[float, float, float], choose: Callable[[list[dict], int], object] | None = None, k: int = 5, most: int = 8) -> list:

@@ -187,3 +187,71 @@ def test_ranks_cover_ranges(spark):
 
     df = spark.createDataFrame([((k * 37) % 101,) for k in range(101)], "v int")
     assert all(r.rank == r.v + 1 for r in ranking.numbered(df, "v").collect())
+
+
+def brute_distances(links):
+    """All shortest distances of a small graph, by repeated relaxation."""
+    nodes = sorted({u for u, _, _ in links})
+    d = {(s, n): 0.0 if s == n else float("inf") for s in nodes for n in nodes}
+    for _ in nodes:
+        for u, v, w in links:
+            for s in nodes:
+                d[s, v] = min(d[s, v], d[s, u] + w)
+    return {k: v for k, v in d.items() if v < float("inf")}
+
+
+def test_both_ways_of_finding_paths_equal_brute_force(spark):
+    import random
+
+    from placeloom.operators import graph
+
+    rng = random.Random(4)
+    one = [(f"n{rng.randint(0, 30):02d}", f"n{rng.randint(0, 30):02d}", float(rng.choice([0, 1, 2, 5]))) for _ in range(45)]
+    links = [x for u, v, w in one for x in ((u, v, w), (v, u, w))]
+    low = {}
+    for u, v, w in links:
+        low[u, v] = min(low.get((u, v), w), w)
+    links = [(u, v, w) for (u, v), w in low.items() if u != v]
+    want = {k: v for k, v in brute_distances(links).items() if k[0] in ("n01", "n07", "n20")}
+    edges = spark.createDataFrame(links, "u string, v string, w double")
+    sources = spark.createDataFrame([("n01",), ("n07",), ("n20",), (None,)], "src string")
+    for sizes in ({"component_nodes": 1000, "chunk": 2}, {"component_nodes": 0}):
+        tree = graph.shortest(edges, sources, **sizes).collect()
+        assert {(r.src, r.node): r.dist for r in tree} == want
+        rows = spark.createDataFrame([tuple(r) for r in tree], "src string, node string, dist double, pred string")
+        ends = rows.select("src", F.col("node").alias("target"))
+        steps = {}
+        for r in graph.path_nodes(rows, ends).collect():
+            steps.setdefault((r.src, r.target), []).append((r.step, r.node))
+        for (s, t), path in steps.items():
+            names = [n for _, n in sorted(path)][::-1]
+            assert names[0] == s and names[-1] == t and [k for k, _ in sorted(path)] == list(range(len(path)))
+            assert sum(low[a, b] for a, b in zip(names, names[1:])) == want[s, t]
+        assert set(steps) == set(want)
+    few = graph.shortest(edges, sources, spark.createDataFrame([("n07",), ("zz",)], "node string"))
+    assert {(r.src, r.node): r.dist for r in few.collect()} == {k: v for k, v in want.items() if k[1] == "n07"}
+    assert graph.shortest(edges.limit(0), sources).count() == 3  # every source reaches itself
+
+
+def test_components_at_once_and_by_rounds(spark):
+    import random
+
+    from placeloom.operators import graph
+
+    rng = random.Random(2)
+    links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)]
+    nodes, edges = spark.range(85), spark.createDataFrame(links, "u long, v long")
+    found = [sorted((r.id, r.component) for r in graph.components(nodes, edges, at_once=n).collect()) for n in (1000, 0)]
+    assert found[0] == found[1] and len(found[0]) == 85
+
+
+def test_hash_embeddings_are_the_agreed_ones():
+    import hashlib
+
+    import numpy as np
+
+    from placeloom.plans import planner
+
+    v = planner.HashEncoder().encode(["L1", ""])
+    want = np.random.default_rng(int.from_bytes(hashlib.sha256(b"L1").digest()[:8], "big")).standard_normal(512).astype(np.float32)
+    assert v.shape == (2, 512) and np.allclose(v[0], want / np.linalg.norm(want)) and abs(np.linalg.norm(v[1]) - 1) < 1e-6
