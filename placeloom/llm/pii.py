@@ -271,18 +271,21 @@ def trusted_instances(docs: DataFrame, found: DataFrame, limit: int = 50, trust:
     edges = materialize(held.groupBy("pat", "kind", "value", "valid").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-edges")
     wide = F.create_map(*[x for k, v in NEED.items() for x in (F.lit(k), F.lit(v * seeds))])
     need = wide[F.substring("pat", 1, 1)]
-    # a pattern with fewer different instances in all can never be kept
-    hope = edges.where("valid").groupBy("pat").agg(F.count_distinct("kind", "value").alias("different"), F.max("seed").alias("seed")).where(F.col("different") >= need).select("pat")
+    # a loose occurrence of a base instance is a seed too
+    slim = edges.where("valid").groupBy("pat", "kind", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
+    slim = slim.join(known.withColumn("base", F.lit(True)), ["kind", "value"], "left")
+    slim = materialize(slim.select("pat", "kind", "value", "n", (F.col("seed") | F.coalesce("base", F.lit(False))).alias("seed")), "pii-slim")
+    # a pattern can only be kept for a kind if all its instances are enough, and outnumber the seeds of other kinds: those are trusted always
+    by_kind = slim.groupBy("pat", "kind").agg(F.count("*").alias("every"), F.count_if(F.col("seed")).alias("sure"))
+    by_pat = by_kind.groupBy("pat").agg(F.sum("sure").alias("sure"), F.collect_list(F.struct("every", "sure")).alias("k"))
+    hope = by_pat.where(F.exists("k", lambda k: (k["every"] >= need) & (k["every"] >= trust * (k["every"] + F.col("sure") - k["sure"])))).select("pat")
     hope = materialize(hope, "pii-hope")
     if hope.isEmpty():
         return known
     lexical = F.substring("pat", 1, 1).isin("2", "1", "r")
     mentioned = edges.where(~lexical).join(hope, "pat", "left_semi").groupBy("pat").agg(F.sum("n").alias("total"))
     total = materialize(occurrences(docs, hope.where(lexical)).unionByName(mentioned), "pii-totals")
-    # a loose occurrence of a base instance is a seed too
-    slim = edges.where("valid").join(hope, "pat", "left_semi").groupBy("pat", "kind", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
-    slim = slim.join(known.withColumn("base", F.lit(True)), ["kind", "value"], "left").join(total, "pat")
-    edges = materialize(slim.select("pat", "kind", "value", "n", (F.col("seed") | F.coalesce("base", F.lit(False))).alias("seed"), "total"), "pii-graph")
+    edges = materialize(slim.join(total, "pat"), "pii-graph")
     kept, mark = None, None
     instances = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("s"))
     for _ in range(limit):
