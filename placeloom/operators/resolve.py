@@ -37,19 +37,22 @@ def candidates(a: DataFrame, b: DataFrame, trust: float = 0.5, gate: float = 0.5
 
     A pair must be closer than its half diagonals together; then it needs either an overlap of
     ``trust`` of the smaller box, or a centre distance under ``gate`` of the half diagonals and
-    labels that agree.  Spheres that reach each other have bounding cubes that overlap: the box
+    labels that agree.  Boxes with a yaw on both sides are turned.  Spheres that reach each other have bounding cubes that overlap: the box
     join finds those, and a large object fills many cells itself instead of widening all of them.
     """
 
+    turned = "yaw" in a.columns and "yaw" in b.columns
+    shape = (*HALF, "yaw") if turned else HALF
+
     def cubes(df: DataFrame) -> DataFrame:
         reach = F.sqrt(sum(F.col(h) * F.col(h) for h in HALF)) * (1 + 1e-9) + 1e-9
-        own = F.struct("uid", "label", "voted", *HALF).alias("own")
+        own = F.struct("uid", "label", "voted", *shape).alias("own")
         return df.select(*XYZ, own, reach.alias("hx"), reach.alias("hy"), reach.alias("hz"))
 
     pairs = spatial.boxes_overlapping(cubes(a), cubes(b), size)
-    flat = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in XYZ], F.col(f"{s}.own.uid").alias("uid"), F.col(f"{s}.own.label").alias("label"), F.col(f"{s}.own.voted").alias("voted"), *[F.col(f"{s}.own.{h}").alias(h) for h in HALF]).alias(s)
+    flat = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in XYZ], F.col(f"{s}.own.uid").alias("uid"), F.col(f"{s}.own.label").alias("label"), F.col(f"{s}.own.voted").alias("voted"), *[F.col(f"{s}.own.{h}").alias(h) for h in shape]).alias(s)
     pairs = pairs.select(flat("l"), flat("r"))
-    shared = geo.overlap([F.col(f"l.{c}") for c in XYZ], [F.col(f"l.{h}") for h in HALF], [F.col(f"r.{c}") for c in XYZ], [F.col(f"r.{h}") for h in HALF])
+    shared = spatial.shared_volume("l", "r", turned)
     far = vector.distance(*[(F.col(f"l.{c}"), F.col(f"r.{c}")) for c in XYZ])
     both = half_diagonal("l") + half_diagonal("r")
     pairs = pairs.withColumns({"shared": shared, "distance": far}).withColumn("ios", spatial.ios())
@@ -58,16 +61,21 @@ def candidates(a: DataFrame, b: DataFrame, trust: float = 0.5, gate: float = 0.5
     return pairs.select(F.col("l.uid").alias("a_uid"), F.col("r.uid").alias("b_uid"), "ios", "cdiag")
 
 
+def kept_of_lead(objects: DataFrame) -> list[str]:
+    """The columns, beside the box, that a fused object takes from its lead."""
+    return [c for c in ("yaw", "qx", "qy", "qz", "qw", "embedding") if c in objects.columns]
+
+
 def fuse(members: DataFrame, lead: str = "conf") -> DataFrame:
     """One row for each component: centre weighted by confidence (at least 0.001), the lead's box and label, sums.
 
     ``members``: component, ord and the object columns.  The lead has the largest ``lead`` value,
-    the first of equals by ord.
+    the first of equals by ord.  The lead's yaw, quaternion (qx to qw) and embedding stay too, where there are any.
     """
     w = F.greatest(F.col(lead).cast("double"), F.lit(1e-3))
     first = F.struct(F.col(lead), -F.col("ord"))
     mean = [(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in XYZ]
-    keep = [F.max_by(c, first).alias(c) for c in ("uid", "label", *HALF)]
+    keep = [F.max_by(c, first).alias(c) for c in ("uid", "label", *HALF, *kept_of_lead(members))]
     return members.groupBy("component").agg(*mean, *keep, F.max("conf").alias("conf"), F.sum("support").alias("support"), F.count("*").alias("n_members"))
 
 
@@ -120,7 +128,7 @@ def reconcile(a: DataFrame, b: DataFrame, votes: DataFrame, trust: float = 0.5,
     label = winning_label(merge_votes(whole.select("component", "uid", "ord"), labelled))
     lead = whole.groupBy("component").agg(F.max_by("label", F.struct("conf", -F.col("ord"))).alias("lead_label"))
     out = fused.join(kinds.select("component", "kind", "a_uid"), "component").join(fresh, "component", "left").join(label, "component", "left").join(lead, "component").join(best, "component", "left")
-    return out.select(F.coalesce("a_uid", "new_uid").cast("long").alias("uid"), "kind", *XYZ, *HALF, F.coalesce("label", "lead_label").alias("label"), "conf", "support", "n_members", F.coalesce("ios", F.lit(0.0)).alias("ios"))
+    return out.select(F.coalesce("a_uid", "new_uid").cast("long").alias("uid"), "kind", *XYZ, *HALF, *kept_of_lead(whole), F.coalesce("label", "lead_label").alias("label"), "conf", "support", "n_members", F.coalesce("ios", F.lit(0.0)).alias("ios"))
 
 
 def overlap_pairs(objects: DataFrame, share: float, size: float = 4.0) -> DataFrame:

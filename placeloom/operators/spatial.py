@@ -84,24 +84,39 @@ def nearest(probes: DataFrame, targets: DataFrame, key: str, target: str, ord_:
 
 
 def boxes_overlapping(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs (l, r, shared) of axis-aligned boxes that share volume.
+    """Pairs (l, r, shared) of boxes that share volume.
 
-    Boxes have x, y, z, hx, hy, hz.  Each box is put into every grid cell it touches; a pair is
-    tested only in the cell that holds the lower corner of the two boxes' common part, so no
-    pair comes twice and no global largest box widens the search.
+    Boxes have x, y, z, hx, hy, hz, and yaw if they are turned about the vertical (both sides
+    have it or it is not used).  Each box is put into every grid cell its bounding box touches; a
+    pair is tested only in the cell that holds the lower corner of the common part of the two
+    bounding boxes, so no pair comes twice and no global largest box widens the search.
     """
+    turned = "yaw" in left.columns and "yaw" in right.columns
+
+    def half(c: str, side: str = "") -> Column:
+        h = lambda k: F.col(f"{side}h{k}")
+        if not turned or c == "z":
+            return h(c)
+        yaw = F.col(f"{side}yaw")
+        first, second = (F.cos(yaw), F.sin(yaw)) if c == "x" else (F.sin(yaw), F.cos(yaw))
+        return F.abs(h("x") * first) + F.abs(h("y") * second)
 
     def placed(df: DataFrame, side: str) -> DataFrame:
-        spans = [F.sequence(F.floor((F.col(c) - F.col(f"h{c}")) / size).cast("long"), F.floor((F.col(c) + F.col(f"h{c}")) / size).cast("long")) for c in XYZ]
+        spans = [F.sequence(F.floor((F.col(c) - half(c)) / size).cast("long"), F.floor((F.col(c) + half(c)) / size).cast("long")) for c in XYZ]
         cells = F.flatten(F.transform(spans[0], lambda i: F.flatten(F.transform(spans[1], lambda j: F.transform(spans[2], lambda k: F.struct(i.alias("__cx"), j.alias("__cy"), k.alias("__cz")))))))
         return df.select(F.struct(*df.columns).alias(side), F.inline(cells))
 
     pairs = placed(left, "l").join(placed(right, "r"), ["__cx", "__cy", "__cz"])
     for c in XYZ:
-        low = F.greatest(F.col(f"l.{c}") - F.col(f"l.h{c}"), F.col(f"r.{c}") - F.col(f"r.h{c}"))
+        low = F.greatest(F.col(f"l.{c}") - half(c, "l."), F.col(f"r.{c}") - half(c, "r."))
         pairs = pairs.where(F.floor(low / size).cast("long") == F.col(f"__c{c}"))
-    shared = geo.overlap([F.col(f"l.{c}") for c in XYZ], [F.col(f"l.h{c}") for c in XYZ], [F.col(f"r.{c}") for c in XYZ], [F.col(f"r.h{c}") for c in XYZ])
-    return pairs.select("l", "r", shared.alias("shared")).where("shared > 0")
+    return pairs.select("l", "r", shared_volume("l", "r", turned).alias("shared")).where("shared > 0")
+
+
+def shared_volume(a: str, b: str, turned: bool) -> Column:
+    """Volume that the boxes of two struct columns share."""
+    own = [([F.col(f"{s}.{c}") for c in XYZ], [F.col(f"{s}.h{c}") for c in XYZ]) for s in (a, b)]
+    return geo.turned_overlap(*own[0], F.col(f"{a}.yaw"), *own[1], F.col(f"{b}.yaw")) if turned else geo.overlap(*own[0], *own[1])
 
 
 def ios(side_l: str = "l", side_r: str = "r") -> Column:

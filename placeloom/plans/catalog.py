@@ -197,6 +197,29 @@ def j3_overlap_pairs(spark, d):
     return resolve.overlap_pairs(scene.objects(spark, d), 0.5).select("u", "v", r4("ios"))
 
 
+def _turned(spark, d):
+    """The objects with boxes turned about the vertical."""
+    return scene.objects(spark, d).withColumn("yaw", 2 * 3.141592653589793 * F.abs(F.col("embedding")[7].cast("double")))
+
+
+@query()
+def j2_turned_candidates(spark, d):
+    o = resolve.label_sets(_turned(spark, d), scene.votes(spark, d))
+    return resolve.candidates(o.where("session = 'S0'"), o.where("session = 'S1'")).select("a_uid", "b_uid", r4("ios"), r4("cdiag"))
+
+
+@query()
+def j3_turned_overlap_pairs(spark, d):
+    return resolve.overlap_pairs(_turned(spark, d), 0.5).select("u", "v", r4("ios"))
+
+
+@query()
+def e1_turned_reconcile(spark, d):
+    o = _turned(spark, d)
+    m = resolve.reconcile(o.where("session = 'S0'"), o.where("session = 'S1'"), scene.votes(spark, d))
+    return m.select("uid", "kind", r4("x"), r4("yaw"), "label", r4("conf"), "support", "n_members", F.size("embedding").alias("size"), r4("ios"))
+
+
 @query(OV + " SELECT DISTINCT o.uid FROM objects o JOIN votes v ON v.label = o.label AND v.uid = o.uid - 1")
 def j4_labels_agree(spark, d):
     o, v = scene.objects(spark, d), scene.votes(spark, d)

@@ -255,3 +255,41 @@ def test_hash_embeddings_are_the_agreed_ones():
     v = planner.HashEncoder().encode(["L1", ""])
     want = np.random.default_rng(int.from_bytes(hashlib.sha256(b"L1").digest()[:8], "big")).standard_normal(512).astype(np.float32)
     assert v.shape == (2, 512) and np.allclose(v[0], want / np.linalg.norm(want)) and abs(np.linalg.norm(v[1]) - 1) < 1e-6
+
+
+def test_turned_boxes_equal_clipping(spark, sf_dir):
+    """Turned overlap against polygon clipping, pair by pair; candidates and overlaps against all pairs of a map."""
+    import random
+
+    from placeloom.plans import registry, scene
+
+    rng = random.Random(1)
+    names = [f"{s}{c}" for s in "lr" for c in ("x", "y", "z", "hx", "hy", "hz", "yaw")]
+    box = lambda: [*[rng.uniform(-2, 2) for _ in range(3)], *[rng.uniform(0.2, 2) for _ in range(3)], rng.choice([0.0, math.pi / 2, math.pi / 4, rng.uniform(-7, 7)])]
+    rows = [(*box(), *box()) for _ in range(500)] + [(0.0, 0.0, 0.0, 0.5, 0.5, 0.5, t, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5, u) for t, u in ((0.0, math.pi / 4), (0.3, 0.3), (0.0, 0.0))]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{n} double" for n in names))
+    side = lambda s: ([F.col(s + c) for c in "xyz"], [F.col(f"{s}h{c}") for c in "xyz"], F.col(s + "yaw"))
+    got = hierarchy.turned_overlap(df.withColumn("own", geo.turned_overlap(*side("l"), *side("r")))).collect()
+    assert max(abs(r.own - r.shared) for r in got) < 1e-9 and abs(got[-3].own - (2 * math.sqrt(2) - 2)) < 1e-9
+
+    o = [r.asDict() for r in scene.objects(spark, sf_dir).collect()]
+    for r in o:
+        r["yaw"] = 2 * math.pi * abs(float(r["embedding"][7]))
+
+    def share(a, b):
+        dz = min(a["z"] + a["hz"], b["z"] + b["hz"]) - max(a["z"] - a["hz"], b["z"] - b["hz"])
+        if dz <= 0:
+            return 0.0
+        flat = hierarchy.clip_area(*[hierarchy.box_corners(r["x"], r["y"], r["hx"], r["hy"], r["yaw"]) for r in (a, b)])
+        return dz * flat / (8 * min(r["hx"] * r["hy"] * r["hz"] for r in (a, b)))
+
+    reach = lambda r: math.sqrt(r["hx"] ** 2 + r["hy"] ** 2 + r["hz"] ** 2)
+    near = [(a, b) for a in o for b in o if a["uid"] < b["uid"] and math.dist([a[c] for c in "xyz"], [b[c] for c in "xyz"]) <= reach(a) + reach(b)]
+    want = {(a["uid"], b["uid"]): s for a, b in near if (s := share(a, b)) >= 0.5}
+    pairs = {(r.u, r.v): r.ios for r in registry.queries()["j3_turned_overlap_pairs"](spark, sf_dir).collect()}
+    assert pairs.keys() == want.keys() and all(abs(pairs[k] - want[k]) < 1e-3 for k in want) and want
+    joined = {(r.a_uid, r.b_uid) for r in registry.queries()["j2_turned_candidates"](spark, sf_dir).collect()}
+    across = {tuple(sorted(k, key=lambda u: u % 2)) for k in want if (k[0] - k[1]) % 2}  # even ids are session S0
+    assert across <= joined
+    merged = registry.queries()["e1_turned_reconcile"](spark, sf_dir).collect()
+    assert sum(r.n_members for r in merged) == len(o) and all(r["yaw"] is not None and r["size"] == 64 for r in merged)
