@@ -1,10 +1,18 @@
-"""The pipeline stage by stage, and the registered queries with SQL, on the smallest tables."""
+"""The pipeline stage by stage and against plain Python, and the registered queries with SQL, on small tables."""
+
+import hashlib
+import math
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from placeloom.llm import decontaminate, pii, queries, simhash
+from placeloom.llm.queries import tokenizer_file
+from test_text_operators import brute_added, brute_components, brute_contained, brute_counts, brute_fp, brute_spans, personal_texts, words
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -40,3 +48,143 @@ def test_every_stage_takes_effect(spark, sf_dir):
             assert n == seen and all(not pii.base_spans(r.text or "") for r in out.select("text").collect())
         docs, seen = out, n
     assert corpus_pipeline.run(spark, sf_dir).count() == seen > 0
+
+
+# ---- the whole pipeline against plain Python
+
+
+def plain_kept(rows, marks, alpha=0.04, delta=0.05):
+    """Rows (id, text, lang) that the quality rules keep; ``marks``: (id, quality) pairs."""
+    share = lambda a, b: min(100, 100 * a // b) if b else 0
+
+    def scores(t):
+        n_words, chars, symbols, dup, repeats = brute_counts(t)
+        lines = sum(bool(words(x)) for x in (t or "").split("\n"))
+        capitals = sum("A" <= c <= "Z" for c in t or "")
+        return n_words < 50 or 2 * repeats > n_words, [share(symbols, n_words), share(capitals, chars), share(dup, lines), share(repeats, n_words)]
+
+    good = {}
+    for i, q in marks:
+        if i is not None and q is not None:
+            good[i] = max(q, good.get(i, q))
+    judged = [(i, lang, *scores(t)) for i, t, lang in rows]
+    labelled = [(lang, s, good[i] > 0, hashlib.md5(str(i).encode()).hexdigest()[0] in "0123") for i, lang, fails, s in judged if not fails and i in good]
+    trials = {}
+    for lang, s, ok, choosing in labelled:
+        if ok and not choosing:
+            trials.setdefault(lang, []).append(s)
+    able = sorted((len(x) for x in trials.values() if (1 - alpha) ** len(x) <= delta), reverse=True)
+    together = max((m for m in range(1, len(able) + 1) if (1 - alpha) ** able[m - 1] <= delta / m), default=0)
+    cuts = {}
+    for lang, tests in trials.items():
+        chosen = [(s, ok) for x, s, ok, choosing in labelled if x == lang and choosing]
+        fine, junk = [s for s, ok in chosen if ok], [s for s, ok in chosen if not ok]
+        path = []
+        for rule in range(4) if fine and junk else ():
+            gain = lambda c: sum(s[rule] >= c for s in junk) / len(junk) - sum(s[rule] >= c for s in fine) / len(fine) / alpha  # noqa: E731, B023
+            best = max(range(1, 101), key=lambda c: (gain(c), c))
+            if gain(best) > 0:
+                path.append((-gain(best), rule, best))
+        path.sort()
+        for step in range(1, len(path) + 1):
+            k, n = sum(any(s[r] >= c for _, r, c in path[:step]) for s in tests), len(tests)
+            if not together or sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > delta / together:
+                break
+            cuts[lang] = [(r, c) for _, r, c in path[:step]]
+    return [row for row, (_, lang, fails, s) in zip(rows, judged) if not fails and not any(s[r] >= c for r, c in cuts.get(lang, []))]
+
+
+def plain_keep_one(rows):
+    """The row of the smallest id of each group; rows without an id only where the group has none."""
+    best = {}
+    for row, group in zip(rows, brute_components(range(len(rows)), [brute_fp(t) for _, t, _ in rows])):
+        known = best.get(group)
+        if known is None or (row[0] is not None and (known[0] is None or row[0] < known[0])):
+            best[group] = row
+    return list(best.values())
+
+
+def plain_redact(text, added):
+    """Spans that overlap become the kind of the one that starts first, the longer of two."""
+    spans = sorted([(a, -b, k) for k, a, b in {*brute_spans(text), *added}])
+    out, pos = "", 0
+    while spans:
+        start, end, kind = spans[0][0], -spans[0][1], spans[0][2]
+        while any(a < end < -b for a, b, _ in spans):
+            end = max(-b for a, b, _ in spans if a < end)
+        out, pos = f"{out}{text[pos:start]}<{kind.upper()}>", end
+        spans = [x for x in spans if x[0] >= end]
+    return out + text[pos:]
+
+
+def plain_pipeline(rows, marks, items):
+    """(doc_id, n_tokens, ids, decoded) of run(); the rows after each of the four stages."""
+    kept = [plain_kept(rows, marks)]
+    kept.append(plain_keep_one(kept[-1]))
+    bad = set(brute_contained([(i, t) for i, t, _ in kept[-1]], items))
+    kept.append([r for r in kept[-1] if r[0] not in {i for i, _ in bad}])
+    added = brute_added([t for _, t, _ in kept[-1]])
+    kept.append([(i, plain_redact(t, more), lang) for (i, t, lang), more in zip(kept[-1], added)])
+    library = Tokenizer.from_file(tokenizer_file(queries.WORD_BPE))
+    library.no_truncation(), library.no_padding()
+    out = []
+    for i, t, _ in kept[-1]:
+        ids = library.encode(t, add_special_tokens=False).ids
+        out.append((i, len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)))
+    return out, kept
+
+
+def write_tables(spark, path, rows, marks, items):
+    """The pipeline's three tables; documents with further columns whose names the stages use."""
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit("x") for c in ("n_words", "kept", "stratum", "h", "d", "text_key", "added", "component_id", "fingerprint", "ids")}
+    docs.withColumns(clash).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return f"file://{path}"
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    rng = random.Random(21)
+    w = lambda n: " ".join("".join(rng.choice("abdefgilmnorst") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    rows, marks = [], []
+    for i in range(900):  # junk by symbols in one language, by lines said twice in another, too few labels in the third
+        lang = "en" if i < 560 else "de" if i < 860 else "fr"
+        junk = i % 5 == 0
+        text = w(70)
+        if junk and lang == "de":
+            text = "\n".join([text, *[w(3)] * 4])
+        elif junk:
+            text += " ## %%" * 12
+        rows.append((i, text, lang))
+        marks.append((i, int(not junk)))
+    rows += [(1000 + i, f"{t} {w(45)}", "en") for i, (t, _) in enumerate(personal_texts(rng))]
+    long = w(400).split()
+    for i in range(12):  # near copies, the smallest id not the first row
+        copy = list(long)
+        copy[rng.randrange(400)] = "zzz"
+        rows.append((1520 - i, " ".join(copy), "fr"))
+    items = [(j, w(rng.randint(3, 30))) for j in range(12)] + [(50, None), (51, "")]
+    rows += [(1600 + j, f"{w(40)} {items[j % 12][1].upper()}! {w(40)}", "en") for j in range(24)]
+    rows += [(2000, None, "en"), (2001, "", None), (2002, "short", "de"), (None, w(80), None), (2003, w(60), None), rows[1], rows[1], (7, w(90), "en"), (2004, w(2_500), "en")]
+    marks += [(None, 1), (2001, None), (3, 0), (9999, 1)]
+    want, (good, one, clean, redacted) = plain_pipeline(rows, marks, items)
+    got = [tuple(r) for r in corpus_pipeline.run(spark, write_tables(spark, tmp_path, rows, marks, items)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = {i for i, _, _ in good}
+    assert not kept & {i for i in range(560) if i % 5 == 0} and {i for i in range(860, 900)} <= kept  # a certified cutoff; none for the few
+    assert not kept & {i for i in range(560, 860) if i % 5 == 0}
+    assert len(rows) > len(good) > len(one) > len(clean) == len(redacted) == len(got)
+    assert sum("<PHONE>" in t for _, t, _ in redacted) > 100 and any("<EMAIL>" in t for _, t, _ in redacted)
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_pipeline_of_empty_tables(spark, tmp_path, empty):
+    rng = random.Random(4)
+    text = lambda: " ".join(str(rng.random()) for _ in range(60))
+    rows = [(i, text(), None) for i in range(4)] + [(None, None, None)]
+    some = {"documents": rows, "labels": [(1, 1), (None, None)], "benchmark": [(1, "a b c d e f"), (None, None)]} | {empty: []}
+    path = write_tables(spark, tmp_path, some["documents"], some["labels"], some["benchmark"])
+    got = corpus_pipeline.run(spark, path)
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert sorted(r.doc_id for r in got.collect()) == ([] if empty == "documents" else [0, 1, 2, 3])
