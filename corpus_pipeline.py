@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: Fingerprints' union over links, bootstrapped patterns and BPE merges are beyond SQL; tests/llm checks the stages' effects and run()'s count.
+#: Fingerprints' union over links, bootstrapped patterns and BPE merges are beyond SQL; tests/llm compares run() with plain Python.
 ORACLE_SQL = None
 
 
