@@ -37,17 +37,21 @@ def candidates(a: DataFrame, b: DataFrame, trust: float = 0.5, gate: float = 0.5
 
     A pair must be closer than its half diagonals together; then it needs either an overlap of
     ``trust`` of the smaller box, or a centre distance under ``gate`` of the half diagonals and
-    labels that agree.  Boxes with a yaw on both sides are turned.  Spheres that reach each other have bounding cubes that overlap: the box
-    join finds those, and a large object fills many cells itself instead of widening all of them.
+    labels that agree.  Boxes with a yaw on both sides are turned.  Either way the boxes themselves overlap or the cubes around
+    ``gate`` of the half diagonals do: the box join takes the larger of the two on each axis, so it neither misses
+    a pair nor compares all that merely reach each other.
     """
 
+    part = min(gate, 1.0) if trust > 0 else 1.0  # without a needed overlap all that reach each other count
     turned = "yaw" in a.columns and "yaw" in b.columns
     shape = (*HALF, "yaw") if turned else HALF
 
     def cubes(df: DataFrame) -> DataFrame:
-        reach = F.sqrt(sum(F.col(h) * F.col(h) for h in HALF)) * (1 + 1e-9) + 1e-9
+        reach = part * F.sqrt(sum(F.col(h) * F.col(h) for h in HALF))
+        wide = F.sqrt(F.col("hx") * F.col("hx") + F.col("hy") * F.col("hy"))  # of a box turned anyhow
+        box = {h: wide if turned and h != "hz" else F.col(h) for h in HALF}
         own = F.struct("uid", "label", "voted", *shape).alias("own")
-        return df.select(*XYZ, own, reach.alias("hx"), reach.alias("hy"), reach.alias("hz"))
+        return df.select(*XYZ, own, *[(F.greatest(reach, box[h]) * (1 + 1e-9) + 1e-9).alias(h) for h in HALF])
 
     pairs = spatial.boxes_overlapping(cubes(a), cubes(b), size)
     flat = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in XYZ], F.col(f"{s}.own.uid").alias("uid"), F.col(f"{s}.own.label").alias("label"), F.col(f"{s}.own.voted").alias("voted"), *[F.col(f"{s}.own.{h}").alias(h) for h in shape]).alias(s)
@@ -133,10 +137,11 @@ def reconcile(a: DataFrame, b: DataFrame, votes: DataFrame, trust: float = 0.5,
 
 def overlap_pairs(objects: DataFrame, share: float, size: float = 4.0) -> DataFrame:
     """(u, v, ios) of objects whose centres are within half their diagonals together and whose boxes overlap by ``share``."""
-    pairs = spatial.boxes_overlapping(objects, objects, size).where("l.uid < r.uid").withColumn("ios", spatial.ios())
     d = vector.distance(*[(F.col(f"l.{c}"), F.col(f"r.{c}")) for c in XYZ])
-    near = d <= half_diagonal("l") + half_diagonal("r")
-    return pairs.where(near & (F.col("ios") >= share)).select(F.col("l.uid").alias("u"), F.col("r.uid").alias("v"), "ios")
+    near = (F.col("l.uid") < F.col("r.uid")) & (d <= half_diagonal("l") + half_diagonal("r"))
+    boxes = objects.select("uid", *XYZ, *HALF, *[c for c in ("yaw",) if c in objects.columns])
+    pairs = spatial.boxes_overlapping(boxes, boxes, size, near, share).withColumn("ios", spatial.ios())
+    return pairs.where(F.col("ios") >= share).select(F.col("l.uid").alias("u"), F.col("r.uid").alias("v"), "ios")
 
 
 def overlap_merge(objects: DataFrame, share: float) -> DataFrame:
@@ -157,8 +162,9 @@ def suppress_contained(objects: DataFrame, share: float = 0.7, size: float = 4.0
     generations at a time, so a chain of k nested boxes takes k rounds.
     """
     vol = lambda s: geo.volume([F.col(f"{s}.{h}") for h in HALF])
-    pairs = spatial.boxes_overlapping(objects, objects, size).where(F.col("l.uid") != F.col("r.uid"))
-    pairs = pairs.where((vol("r") > vol("l")) & (F.col("shared") >= share * vol("l")))
+    boxes = objects.select("uid", "ord", *XYZ, *HALF, *[c for c in ("yaw",) if c in objects.columns])
+    pairs = spatial.boxes_overlapping(boxes, boxes, size, (F.col("l.uid") != F.col("r.uid")) & (vol("r") > vol("l")), share)
+    pairs = pairs.where(F.col("shared") >= share * vol("l"))
     inside = materialize(pairs.select(F.col("l.uid").alias("i"), F.col("l.ord").alias("io"), F.col("r.uid").alias("j"), F.col("r.ord").alias("jo")), "suppress")
     # a container that comes later is always still kept when i is visited
     dropped = materialize(inside.where("jo > io").select("i").distinct(), "suppress")
