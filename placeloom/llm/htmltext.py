@@ -271,8 +271,8 @@ NEARLY_ALL, LOST = 0.9, 0.05
 SUPPORT = 3
 #: A menu has so many links, this share of its text is links, and it is one on this share of the container's pages.
 MENU_LINKS, MENU_SHARE, MENU_PAGES = 3, 0.8, 0.8
-#: Children are aligned by the best alignment up to so many pairs, beyond by the first that fits: large hostile pages stay linear.
-WIDE = 40_000
+#: So many scores of pairs of nodes are kept while two templates are merged; others are worked out again.
+SCORES = 200_000
 
 
 def shape(node: list) -> tuple:
@@ -286,51 +286,52 @@ def match(a: list, b: list, memo: dict) -> int:
     if not a[KIDS] or not b[KIDS]:
         return 1
     key = (id(a), id(b))
-    if key not in memo:
-        xs, ys = a[KIDS], b[KIDS]
-        memo[key] = 1 + (_table(xs, ys, memo)[-1][-1] if len(xs) * len(ys) <= WIDE else len(_first_fit(xs, ys)))
-    return memo[key]
+    score = memo.get(key)
+    if score is None:
+        score = 1 + _score(a[KIDS], b[KIDS], memo)
+        if len(memo) < SCORES:
+            memo[key] = score
+    return score
 
 
-def _table(xs: list, ys: list, memo: dict) -> list[list[int]]:
-    best = [[0] * (len(ys) + 1)]
+def _score(xs: list, ys: list, memo: dict, steps: list[bytearray] | None = None) -> int:
+    """The score of the best alignment, the same method for few and many children: quadratic time, two rows of scores.
+
+    ``steps`` gets how each cell came about, one byte each: 0 by aligning the two, 1 by leaving out the second, 2 the first.
+    """
+    above = [0] * (len(ys) + 1)
     for x in xs:
-        row, above = [0], best[-1]
+        row, last, step = [0], 0, bytearray(len(ys))
+        label = x[LABEL]
         for j, y in enumerate(ys):
-            row.append(max(row[-1], above[j + 1], above[j] + match(x, y, memo)))
-        best.append(row)
-    return best
-
-
-def _first_fit(xs: list, ys: list) -> list[tuple[int, int]]:
-    """Order-keeping pairs of like shapes, each with the next that is left."""
-    where: dict[tuple, list[int]] = {}
-    for i, x in enumerate(xs):
-        where.setdefault(shape(x), []).append(i)
-    out, at = [], -1
-    for j, y in enumerate(ys):
-        places = where.get(shape(y), [])
-        k = bisect_right(places, at)
-        if k < len(places):
-            at = places[k]
-            out.append((at, j))
-    return out
+            w = match(x, y, memo) if label == y[LABEL] else 0
+            by_pair, up = above[j] + w, above[j + 1]
+            if last < up or last < by_pair:
+                last = max(up, by_pair)
+                step[j] = 0 if w and last == by_pair else 2
+            else:
+                step[j] = 0 if w and last == by_pair else 1
+            row.append(last)
+        above = row
+        if steps is not None:
+            steps.append(step)
+    return above[-1]
 
 
 def align(xs: list, ys: list, memo: dict) -> list[tuple[int, int]]:
     """(place in xs, place in ys) of the aligned children, in order."""
-    if len(xs) * len(ys) > WIDE:
-        return _first_fit(xs, ys)
-    best, out = _table(xs, ys, memo), []
+    steps: list[bytearray] = []
+    _score(xs, ys, memo, steps)
+    out = []
     i, j = len(xs), len(ys)
     while i and j:
-        if (w := match(xs[i - 1], ys[j - 1], memo)) and best[i][j] == best[i - 1][j - 1] + w:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
+        step = steps[i - 1][j - 1]
+        if step != 1:
             i -= 1
+        if step != 2:
+            j -= 1
+        if not step:
+            out.append((i, j))
     return out[::-1]
 
 
