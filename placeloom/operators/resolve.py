@@ -53,14 +53,24 @@ def candidates(a: DataFrame, b: DataFrame, trust: float = 0.5, gate: float = 0.5
         own = F.struct("uid", "label", "voted", *shape).alias("own")
         return df.select(*XYZ, own, *[(F.greatest(reach, box[h]) * (1 + 1e-9) + 1e-9).alias(h) for h in HALF])
 
-    pairs = spatial.boxes_overlapping(cubes(a), cubes(b), size)
-    flat = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in XYZ], F.col(f"{s}.own.uid").alias("uid"), F.col(f"{s}.own.label").alias("label"), F.col(f"{s}.own.voted").alias("voted"), *[F.col(f"{s}.own.{h}").alias(h) for h in shape]).alias(s)
-    pairs = pairs.select(flat("l"), flat("r"))
+    def reached(df: DataFrame) -> DataFrame:
+        radius = F.sqrt(sum(F.col(h) * F.col(h) for h in HALF))
+        wide = F.sqrt(F.col("hx") * F.col("hx") + F.col("hy") * F.col("hy"))
+        box = {h: wide if turned and h != "hz" else F.col(h) for h in HALF}
+        around = [(F.greatest(2 * part * radius, box[f"h{c}"]) * (1 + 1e-9) + 1e-9).alias(f"w{c}") for c in XYZ]
+        return df.select(*XYZ, "uid", "label", "voted", *shape, *around)
+
+    if trust >= 0.5:  # half of the smaller box in the larger one: so is its centre; and the larger half diagonal is at least half of both
+        pairs = spatial.centres_within(reached(a), reached(b), size)
+    else:
+        pairs = spatial.boxes_overlapping(cubes(a), cubes(b), size)
+        flat = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in XYZ], F.col(f"{s}.own.uid").alias("uid"), F.col(f"{s}.own.label").alias("label"), F.col(f"{s}.own.voted").alias("voted"), *[F.col(f"{s}.own.{h}").alias(h) for h in shape]).alias(s)
+        pairs = pairs.select(flat("l"), flat("r"))
     shared = spatial.shared_volume("l", "r", turned)
     far = vector.distance(*[(F.col(f"l.{c}"), F.col(f"r.{c}")) for c in XYZ])
     both = half_diagonal("l") + half_diagonal("r")
-    pairs = pairs.withColumns({"shared": shared, "distance": far}).withColumn("ios", spatial.ios())
-    pairs = pairs.where(F.col("distance") <= both).withColumn("cdiag", F.col("distance") / (both + 1e-9))
+    pairs = pairs.where(far <= both).withColumns({"shared": shared, "distance": far}).withColumn("ios", spatial.ios())
+    pairs = pairs.withColumn("cdiag", F.col("distance") / (both + 1e-9))
     pairs = pairs.where((F.col("ios") >= trust) | ((F.col("cdiag") < gate) & labels_agree()))
     return pairs.select(F.col("l.uid").alias("a_uid"), F.col("r.uid").alias("b_uid"), "ios", "cdiag")
 
