@@ -75,7 +75,7 @@ def absorb(base: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
 
 def add_places(nodes: DataFrame, edges: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges with a node ``poi_<uid>`` for each place and an edge to its nearest walkable node."""
-    near = spatial.nearest(places, nodes.where("type = 'nav'"), "uid", "id", "ord", 4.0)
+    near = spatial.nearest(places, nodes.where("type = 'nav'"), "uid", "id", "ord")
     poi = places.select(F.concat(F.lit("poi_"), F.col("uid").cast("string")).alias("id"), *XYZ, F.lit("poi").alias("type"))
     link = near.select(F.concat(F.lit("poi_"), F.col("uid").cast("string")).alias("source_id"), F.col("id").alias("target_id"))
     return absorb(nodes.select("id", *XYZ, "type"), poi), edges.select("source_id", "target_id").unionByName(link)
@@ -89,7 +89,7 @@ def anchors(objects: DataFrame, attached: DataFrame, nodes: DataFrame, gates: Da
     """
     known = attached.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
     lone = objects.join(known.select("uid"), "uid", "left_anti")
-    near = spatial.nearest(lone, nodes, "uid", "id", "ord", 4.0).select("uid", F.col("id").alias("node"))
+    near = spatial.nearest(lone, nodes, "uid", "id", "ord").select("uid", F.col("id").alias("node"))
     both = known.select("uid", "node").unionByName(near).distinct()
     o = objects.select("uid", *[F.col(c).alias(f"p0{c}") for c in XYZ])
     n = nodes.select(F.col("id").alias("node"), *[F.col(c).alias(f"p1{c}") for c in XYZ])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo, vector
-from placeloom.operators.store import materialize
+from placeloom.operators.tiles import nearest  # noqa: F401
 
 XYZ = ("x", "y", "z")
 
@@ -61,28 +61,6 @@ def proximity_pairs(nodes: DataFrame, edges: DataFrame, radius: float, min_gap:
     return pairs.join(known, ["__u", "__v"], "left_anti").select("a", "b", "distance")
 
 
-def nearest(probes: DataFrame, targets: DataFrame, key: str, target: str, ord_: str, start: float = 1.0, rounds: int = 40) -> DataFrame:
-    """(key, target id, distance) of the nearest target of each probe; the smallest ``ord_`` of equals.
-
-    Both have x, y, z.  The search radius doubles for the probes that are still without a target
-    within it, so each round is a grid join on what is left.
-    """
-    left = materialize(probes.select(key, *XYZ), "nearest")
-    if targets.limit(1).count() == 0:
-        return left.select(key, F.lit(None).cast(dict(targets.dtypes)[target]).alias(target), F.lit(None).cast("double").alias("distance")).limit(0)
-    found, radius = None, start
-    for _ in range(rounds):
-        best = radius_join(left, targets.select(*dict.fromkeys([target, ord_, *XYZ])), radius)
-        best = best.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"r.{target}").alias("id"), F.col("distance").alias("d")), F.struct("distance", f"r.{ord_}")).alias("m"))
-        best = materialize(best.select(key, F.col("m.id").alias(target), F.col("m.d").alias("distance")), "nearest")
-        found = best if found is None else found.unionByName(best)
-        left = materialize(left.join(best, key, "left_anti"), "nearest")
-        if left.limit(1).count() == 0:
-            return found
-        radius *= 2
-    raise RuntimeError("probes are too far from all targets; begin with a larger radius")
-
-
 def finest(boxes: DataFrame, halves: list[Column], size: float, cells: float = 10.0) -> float:
     """The smallest of ``size``, its half, its quarter... at which a box touches at most ``cells`` grid cells on average."""
     tried = [size / 2**k for k in range(8)]

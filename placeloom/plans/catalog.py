@@ -248,7 +248,7 @@ def j6_containment_parent(spark, d):
  SELECT uid, node, round(d, 4) AS distance FROM m WHERE k = 1""")
 def j7_nearest_node(spark, d):
     nodes, _ = scene.route(spark, d)
-    return spatial.nearest(scene.objects(spark, d), nodes, "uid", "id", "ord", 2.0).select("uid", F.col("id").alias("node"), r4("distance"))
+    return spatial.nearest(scene.objects(spark, d), nodes, "uid", "id", "ord").select("uid", F.col("id").alias("node"), r4("distance"))
 
 
 @query(R + ", obs AS (SELECT user_id AS uid, event_id % 5 AS frame, user_id AS session FROM events) SELECT obs.uid, n.id AS node FROM obs JOIN route_nodes n ON n.session = obs.session AND n.seq = obs.frame * 5 GROUP BY 1, 2")

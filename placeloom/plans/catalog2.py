@@ -31,7 +31,7 @@ def j9_attachment_fallback(spark, d):
  m AS (SELECT a.session, a.seq, b.label, row_number() OVER (PARTITION BY a.session, a.seq ORDER BY {DIST}, b.label) AS k FROM p a, areas b) SELECT session, seq, label FROM m WHERE k = 1""")
 def j10_nearest_area(spark, d):
     p = scene.poses(spark, d).withColumn("pose", F.struct("session", "seq"))
-    return spatial.nearest(p, scene.areas(spark, d), "pose", "label", "label", 4.0).select("pose.session", "pose.seq", "label")
+    return spatial.nearest(p, scene.areas(spark, d), "pose", "label", "label").select("pose.session", "pose.seq", "label")
 
 
 @query(R + """, far AS (SELECT * FROM route_nodes WHERE session % 2 = 1), base AS (SELECT * FROM route_nodes WHERE session % 2 = 0),

@@ -109,7 +109,7 @@ def order_route(candidates: list[dict], orderer: Orderer = by_score, tries: int
 def attach(places: DataFrame, nodes: DataFrame) -> DataFrame:
     """(uid, node): the nearest walkable node of each place."""
     nav = nodes.where("type = 'nav'")
-    return spatial.nearest(places, nav, "uid", "id", "ord", start=4.0).select("uid", F.col("id").alias("node"))
+    return spatial.nearest(places, nav, "uid", "id", "ord").select("uid", F.col("id").alias("node"))
 
 
 def route_lengths(stops: DataFrame, anchors: DataFrame, edges: DataFrame, source: str = "src") -> DataFrame:
