@@ -93,7 +93,7 @@ def anchors(objects: DataFrame, attached: DataFrame, nodes: DataFrame, gates: Da
     both = known.select("uid", "node").unionByName(near).distinct()
     o = objects.select("uid", *[F.col(c).alias(f"p0{c}") for c in XYZ])
     n = nodes.select(F.col("id").alias("node"), *[F.col(c).alias(f"p1{c}") for c in XYZ])
-    line = both.join(o, "uid").join(n, "node").withColumn("key", F.concat_ws("|", F.col("uid").cast("string"), "node"))
+    line = materialize(both.join(o, "uid").join(n, "node").withColumn("key", F.concat_ws("|", F.col("uid").cast("string"), "node")), "anchors")
     cut = spatial.crossing(line.select("key", *[f"{p}{c}" for p in ("p0", "p1") for c in XYZ]), gates, margin).select("key", F.lit(True).alias("cut"))
     d = vector.distance(*[(f"p0{c}", f"p1{c}") for c in XYZ])
     return line.join(cut, "key", "left").select(F.col("uid").alias("key"), "node", F.when(F.coalesce("cut", F.lit(False)), float("inf")).otherwise(d).alias("offset"))
@@ -107,36 +107,20 @@ def portals(objects: DataFrame, segments: DataFrame, adjacency: float = 2.0, mar
     label = F.lower("label")
     doors = objects.where(label.contains("door") | label.contains("entrance"))
     mirrors = objects.where("label = 'mirror'")
-    h = ("hx", "hy", "hz")
-    m = mirrors.select("uid", *XYZ, *h)
-    # which mirrors are walked through: each mirror in turn is the gate, so join cells the other way round
-    reach = segments.select(*[f"{p}{c}" for p in ("p0", "p1") for c in XYZ], F.inline(_cells("p0", "p1", margin)))
-    gates = m.select("uid", *[F.col(c).alias(f"g{c}") for c in XYZ], *[F.col(c).alias(f"g{c}") for c in h], F.inline(_box_cells(margin)))
-    through = reach.join(gates, ["cx", "cy", "cz"]).where(spatial.gate_test(margin)).select("uid").distinct()
+    m = mirrors.select("uid", *XYZ, "hx", "hy", "hz")
+    through = spatial.crossed(m, segments, "uid", margin)
     near = spatial.near_any(m.select("uid", *XYZ), doors.select("uid", *XYZ), adjacency).select("uid")
     why = through.select("uid", F.lit("through").alias("why")).unionByName(near.join(through, "uid", "left_anti").select("uid", F.lit("near").alias("why")))
     return objects.join(doors.select("uid", F.lit("labelled").alias("why")).unionByName(why), "uid")
 
 
-SIZE = 4.0
-
-
-def _cells(a: str, b: str, margin: float):
-    spans = [F.sequence(F.floor(F.least(f"{a}{c}", f"{b}{c}") / SIZE).cast("long"), F.floor(F.greatest(f"{a}{c}", f"{b}{c}") / SIZE).cast("long")) for c in XYZ]
-    return F.flatten(F.transform(spans[0], lambda i: F.flatten(F.transform(spans[1], lambda j: F.transform(spans[2], lambda k: F.struct(i.alias("cx"), j.alias("cy"), k.alias("cz")))))))
-
-
-def _box_cells(margin: float):
-    spans = [F.sequence(F.floor((F.col(c) - F.col(f"h{c}") - margin) / SIZE).cast("long"), F.floor((F.col(c) + F.col(f"h{c}") + margin) / SIZE).cast("long")) for c in XYZ]
-    return F.flatten(F.transform(spans[0], lambda i: F.flatten(F.transform(spans[1], lambda j: F.transform(spans[2], lambda k: F.struct(i.alias("cx"), j.alias("cy"), k.alias("cz")))))))
-
-
 def areas(objects: DataFrame, attached: DataFrame, nodes: DataFrame, edges: DataFrame, drop: tuple[str, ...] = ("door", "entrance", "mirror"), d_max: float = 8.0, linkage: str = "average", margin: float = 0.3) -> DataFrame:
     """(cluster, n, diameter, box) of objects that are near each other on foot without passing a gate.
 
     ``objects``: uid, label, x..hz; ``attached``: uid, node; ``nodes``: id, ord, x, y, z; ``edges``:
     source_id, target_id.  Without objects there are no areas.
     """
+    nodes = materialize(nodes, "areas")
     p, q = (nodes.select(F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"{s}{c}") for c in XYZ]) for n, s in (("source", "p0"), ("target", "p1")))
     seg = materialize(edges.join(p, "source_id").join(q, "target_id").withColumn("key", F.concat_ws("|", "source_id", "target_id")), "areas")
     lines = seg.select("key", *[f"{s}{c}" for s in ("p0", "p1") for c in XYZ])
@@ -144,7 +128,8 @@ def areas(objects: DataFrame, attached: DataFrame, nodes: DataFrame, edges: Data
     kept = seg.join(spatial.crossing(lines, gates, margin, kept=True).select("key"), "key", "left_semi").select("source_id", "target_id")
     inner = objects.where(~F.col("label").isin(*drop)).select("uid", *XYZ)
     at = materialize(anchors(inner, attached, nodes, gates, margin), "areas")
-    paths = materialize(graph.shortest(graph.weighted(kept, nodes), at.select(F.col("node").alias("src")), at.select("node")), "areas")
+    walked = at.where(F.col("offset") < graph.INFINITY)  # the others are on no way
+    paths = materialize(graph.shortest(graph.weighted(kept, nodes), walked.select(F.col("node").alias("src")), walked.select("node")), "areas")
     dist = materialize(graph.set_distances(at, paths), "areas")
     label = clusters.linkage_clusters(inner.select(F.col("uid").alias("id")), dist, d_max, linkage)
     members = label.join(inner.withColumnRenamed("uid", "id"), "id")

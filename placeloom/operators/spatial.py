@@ -159,19 +159,66 @@ def gate_test(margin: float = 0.3) -> Column:
 def crossing(segments: DataFrame, gates: DataFrame, margin: float = 0.3, kept: bool = False, size: float = 4.0) -> DataFrame:
     """Segments that cross a gate, or with ``kept`` those that cross none.
 
-    Segments: key and p0x..p1z; gates: x, y, z, hx, hy, hz.  Both are put into the grid cells of
-    their bounding boxes, and the exact test follows as a join condition.
+    Segments: key and p0x..p1z; gates: x, y, z, hx, hy, hz.
     """
+    s, g = _gate_cells(segments, gates, margin, size, ["key"])
+    hits = s.join(g, _meet(margin), "left_semi").select("key").distinct()
+    return segments.join(hits, "key", "left_anti" if kept else "left_semi")
 
-    def cells(low: list[Column], high: list[Column]) -> Column:
-        spans = [F.sequence(F.floor(a / size).cast("long"), F.floor(b / size).cast("long")) for a, b in zip(low, high)]
-        return F.flatten(F.transform(spans[0], lambda i: F.flatten(F.transform(spans[1], lambda j: F.transform(spans[2], lambda k: F.struct(i.alias("__cx"), j.alias("__cy"), k.alias("__cz")))))))
 
-    g = gates.select(*[F.col(c).alias(f"g{c}") for c in XYZ], *[F.col(f"h{c}").alias(f"gh{c}") for c in XYZ])
-    g = g.select("*", F.inline(cells([F.col(f"g{c}") - F.col(f"gh{c}") - margin for c in XYZ], [F.col(f"g{c}") + F.col(f"gh{c}") + margin for c in XYZ])))
-    s = segments.select("*", F.inline(cells([F.least(f"p0{c}", f"p1{c}") for c in XYZ], [F.greatest(f"p0{c}", f"p1{c}") for c in XYZ])))
-    hits = s.join(g, ["__cx", "__cy", "__cz"], "inner").where(gate_test(margin)).select("key").distinct()
-    return segments.join(hits, "key", "left_anti" if kept else "left_semi")
+def crossed(gates: DataFrame, segments: DataFrame, key: str, margin: float = 0.3, size: float = 4.0) -> DataFrame:
+    """(key) of the gates that a segment crosses; tables as for ``crossing``, gates with a ``key``."""
+    s, g = _gate_cells(segments, gates, margin, size, [], [key])
+    return g.join(s, _meet(margin), "left_semi").select(key).distinct()
+
+
+def _meet(margin: float) -> Column:
+    return (F.col("__sx") == F.col("__gx")) & (F.col("__sy") == F.col("__gy")) & (F.col("__sz") == F.col("__gz")) & gate_test(margin)
+
+
+def _gate_cells(segments: DataFrame, gates: DataFrame, margin: float, size: float, of_segment: list[str], of_gate: list[str] = []) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """Segments and gates (gx.., ghx..), with the columns asked for, in the grid cells that they pass or fill.
+
+    Cells are ``size`` wide or finer, so that few gates share one; joined as a semi join, a row stops at its first hit.
+    A segment is cut into pieces as long as a cell, of which those in the bounding box of all gates are placed, so it is
+    in about as many cells as it passes.  Rows without coordinates are in none.
+    """
+    wide = margin + 1e-6  # a crossing on the very face of a gate counts whatever way it was rounded
+    g = gates.select(*of_gate, *[F.col(c).alias(f"g{c}") for c in XYZ], *[F.col(f"h{c}").alias(f"gh{c}") for c in XYZ])
+    for c in XYZ:
+        g = g.where(F.abs(f"g{c}") + F.abs(f"gh{c}") < float("inf"))
+    half = [F.col(f"gh{c}") + wide for c in XYZ]
+    size = finest(g, half, size, 24.0)
+    box = g.agg(*[F.min(F.col(f"g{c}") - h).alias(f"l{c}") for c, h in zip(XYZ, half)], *[F.max(F.col(f"g{c}") + h).alias(f"h{c}") for c, h in zip(XYZ, half)]).first()
+    s = segments.select(*of_segment, *[f"{p}{c}" for p in ("p0", "p1") for c in XYZ])
+    for c in XYZ:
+        s = s.where(F.abs(f"p0{c}") + F.abs(f"p1{c}") < float("inf"))
+    if box.lx is None:
+        s = s.where("false")
+    low, high = ([F.lit(box[f"{k}{c}"]).cast("double") for c in XYZ] for k in "lh")
+    step = [F.col(f"p1{c}") - F.col(f"p0{c}") for c in XYZ]
+    pieces = F.greatest(F.lit(1.0), F.ceil(F.greatest(*[F.abs(d) for d in step]) / size).cast("double"))
+    s = s.withColumn("__n", pieces)
+    # the part of the segment in the bounding box of all gates, in pieces
+    slope = [F.when(F.abs(d) >= 1e-9, d) for d in step]
+    ends = [tuple((e - F.col(f"p0{c}")) / d for e in edges) for c, d, *edges in zip(XYZ, slope, low, high)]
+    enter = F.greatest(F.lit(0.0), *[F.least(a, b) for a, b in ends])
+    leave = F.least(F.lit(1.0), *[F.greatest(a, b) for a, b in ends])
+    s = s.withColumn("__a", F.greatest(F.lit(0.0), F.floor(enter * F.col("__n")) - 1).cast("long")).withColumn("__b", F.least(F.col("__n") - 1, F.floor(leave * F.col("__n")) + 1).cast("long"))
+    s = s.where("__a <= __b").withColumn("__k", F.explode(F.sequence("__a", "__b")))
+    for c, d, lo, hi in zip(XYZ, step, low, high):
+        first, last = (F.col(f"p0{c}") + d * ((F.col("__k") + k) / F.col("__n")) for k in (0, 1))
+        slack = 1e-6 + (F.abs(f"p0{c}") + F.abs(f"p1{c}")) * 1e-12
+        s = s.withColumn(f"__l{c}", F.least(first, last) - slack).withColumn(f"__h{c}", F.greatest(first, last) + slack)
+        s = s.where((F.col(f"__h{c}") >= lo) & (F.col(f"__l{c}") <= hi))
+    g = g.withColumns({f"__l{c}": F.col(f"g{c}") - h for c, h in zip(XYZ, half)} | {f"__h{c}": F.col(f"g{c}") + h for c, h in zip(XYZ, half)})
+
+    def filled(df: DataFrame, side: str, own: list[str]) -> DataFrame:
+        spans = [F.sequence(F.floor(F.col(f"__l{c}") / size).cast("long"), F.floor(F.col(f"__h{c}") / size).cast("long")) for c in XYZ]
+        cells = F.flatten(F.transform(spans[0], lambda i: F.flatten(F.transform(spans[1], lambda j: F.transform(spans[2], lambda k: F.struct(i.alias("x"), j.alias("y"), k.alias("z")))))))
+        return df.select(*own, F.inline(cells).alias(f"__{side}x", f"__{side}y", f"__{side}z"))
+
+    return filled(s, "s", [*of_segment, *[f"{p}{c}" for p in ("p0", "p1") for c in XYZ]]), filled(g, "g", [*of_gate, *[f"{p}{c}" for p in ("g", "gh") for c in XYZ]])
 
 
 def near_any(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
