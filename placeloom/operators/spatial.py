@@ -7,6 +7,8 @@ finds smaller), so Spark joins on the cell and the exact test is a residual filt
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,10 @@ def cell(size: float | Column, prefix: str = "") -> list[Column]:
     return [F.floor(F.col(prefix + c) / size).cast("long").alias(f"__c{c}") for c in XYZ]
 
 
-def neighbours(size: float | Column) -> Column:
+def neighbours(size: float | Column, axes: Sequence[str] = XYZ) -> Column:
     """The 27 cells at and around a point, as an array to explode."""
     steps = F.sequence(F.lit(-1), F.lit(1))
-    base = [F.floor(F.col(c) / size).cast("long") for c in XYZ]
+    base = [F.floor(F.col(c) / size).cast("long") for c in axes]
     return F.flatten(
         F.transform(steps, lambda i: F.flatten(F.transform(steps, lambda j: F.transform(steps, lambda k: F.struct((base[0] + i).alias("__cx"), (base[1] + j).alias("__cy"), (base[2] + k).alias("__cz"))))))
     )
