@@ -667,9 +667,7 @@ def c1_average_linkage(spark, d):
 
 @query()
 def c1_complete_linkage(spark, d):
-    o = scene.objects(spark, d).select("uid", *"xyz")
-    dist = spatial.radius_join(o, o, 2.0).where("l.uid < r.uid").select(F.col("l.uid").alias("i"), F.col("r.uid").alias("j"), F.col("distance").alias("dist"))
-    return clusters.linkage_clusters(o.select(F.col("uid").alias("id")), dist, 1.5, "complete")
+    return clusters.place_clusters(scene.objects(spark, d).select(F.col("uid").alias("id"), *"xyz"), 2.0, 1.5, "complete")
 
 
 @query(O + f""", near AS (SELECT a.uid AS i, b.uid AS j, {DIST} AS d FROM objects a, objects b WHERE {DIST} <= 1), core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 4),
