@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo, vector
-from placeloom.operators import graph, ranking, spatial
+from placeloom.operators import graph, ranking, spatial, turned
 from placeloom.operators.store import materialize
 
 XYZ = spatial.XYZ
@@ -150,6 +150,8 @@ def overlap_pairs(objects: DataFrame, share: float, size: float = 4.0) -> DataFr
     d = vector.distance(*[(F.col(f"l.{c}"), F.col(f"r.{c}")) for c in XYZ])
     near = (F.col("l.uid") < F.col("r.uid")) & (d <= half_diagonal("l") + half_diagonal("r"))
     boxes = objects.select("uid", *XYZ, *HALF, *[c for c in ("yaw",) if c in objects.columns])
+    if "yaw" in boxes.columns and share >= 0.5:
+        return turned.overlap_pairs(boxes, share, size)
     pairs = spatial.boxes_overlapping(boxes, boxes, size, near, share).withColumn("ios", spatial.ios())
     return pairs.where(F.col("ios") >= share).select(F.col("l.uid").alias("u"), F.col("r.uid").alias("v"), "ios")
 

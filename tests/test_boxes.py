@@ -1,9 +1,11 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from placeloom.operators import resolve, spatial
+from placeloom.operators import turned as turned_boxes
 
 
 def boxes(spark, n, seed, session):
@@ -42,3 +44,23 @@ def test_overlap_pairs_are_those_of_all_pairs(spark, turned):
     pairs = a.select(F.struct(*a.columns).alias("l")).crossJoin(a.select(F.struct(*a.columns).alias("r"))).where("l.uid < r.uid")
     pairs = pairs.withColumn("shared", spatial.shared_volume("l", "r", turned)).withColumn("ios", spatial.ios()).where("ios >= 0.2")
     assert {tuple(r) for r in resolve.overlap_pairs(a, 0.2).select("u", "v").collect()} == {tuple(r) for r in pairs.select("l.uid", "r.uid").collect()}
+
+
+@pytest.mark.parametrize("rows", [60, 100_000])
+@pytest.mark.parametrize("share", [0.5, 0.8])
+def test_turned_pairs_by_arrays_are_those_of_all_pairs(spark, monkeypatch, share, rows):
+    a = boxes(spark, 250, 6, "a").withColumn("uid", F.col("uid").cast("string"))
+    more = a.where("ord % 5 = 0")
+    # copies, the same place turned by a right angle, a little shift, boxes in boxes, one flat, one without a yaw, one far off
+    a = a.unionByName(more.withColumn("uid", F.concat(F.lit("0"), "uid"))).unionByName(more.withColumns({"uid": F.concat("uid", F.lit("t")), "yaw": F.col("yaw") + math.pi / 2}))
+    a = a.unionByName(more.withColumns({"uid": F.concat("uid", F.lit("s")), "x": F.col("x") + 0.1, "hx": F.col("hx") / 3, "yaw": -F.col("yaw")}))
+    a = a.unionByName(more.limit(1).withColumns({"uid": F.lit("flat"), "hz": F.lit(0.0)})).unionByName(more.limit(1).withColumns({"uid": F.lit("none"), "yaw": F.lit(None).cast("double")}))
+    a = a.unionByName(more.limit(1).withColumns({"uid": F.lit("far"), "x": F.lit(1e7)})).cache()
+    pairs = a.select(F.struct(*a.columns).alias("l")).crossJoin(a.select(F.struct(*a.columns).alias("r"))).where("l.uid < r.uid")
+    pairs = pairs.withColumn("shared", spatial.shared_volume("l", "r", True)).where("shared > 0").withColumn("ios", spatial.ios()).where(F.col("ios") >= share)
+    want = {(x.u, x.v): x.ios for x in pairs.select(F.col("l.uid").alias("u"), F.col("r.uid").alias("v"), "ios").collect()}
+    monkeypatch.setattr(spatial, "boxes_overlapping", lambda *a, **k: pytest.fail("every pair of touching boxes is joined"))
+    monkeypatch.setattr(turned_boxes, "BLOCK", 1000)
+    found = resolve.overlap_pairs(a, share) if rows > 60 else turned_boxes.overlap_pairs(a, share, rows=rows)
+    got = {(x.u, x.v): x.ios for x in found.collect()}
+    assert len(got) == found.count() and got == pytest.approx(want, abs=1e-9) and len(got) > 50
