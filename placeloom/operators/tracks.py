@@ -74,12 +74,14 @@ def resample(poses: DataFrame, keys: Sequence[str], spacing: float, seq: str = "
 def densify(points: DataFrame, keys: Sequence[str], longest: float, seq: str = "seq") -> DataFrame:
     """keys, seq, part, x, y, z: the vertices, and between them as many equal parts as keep segments within ``longest``.
 
-    Segments without length are skipped.
+    Segments without length are skipped.  What a segment is longer by the rounding of its ends makes no further part, so
+    positions that are running sums are cut alike in whatever order they were added up.
     """
     w = along(keys, seq)
     seg = points.withColumns({f"p{c}": F.lag(c).over(w) for c in XYZ}).withColumn("d", vector.distance(*[(c, f"p{c}") for c in XYZ]))
     first = seg.where("px IS NULL").select(*keys, seq, F.lit(0).alias("part"), *XYZ)
-    parts = F.ceil(F.col("d") / longest).cast("int")
+    rounding = F.greatest(*[F.abs(f"{p}{c}") for c in XYZ for p in ("", "p")]) * 1e-15
+    parts = F.greatest(F.lit(1), F.ceil((F.col("d") - rounding) / longest).cast("int"))
     more = seg.where("d > 0").withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
     share = F.col("part") / F.col("parts")
     return first.unionByName(more.select(*keys, seq, "part", *[(F.col(f"p{c}") + share * (F.col(c) - F.col(f"p{c}"))).alias(c) for c in XYZ]))

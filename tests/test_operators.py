@@ -293,3 +293,14 @@ def test_turned_boxes_equal_clipping(spark, sf_dir):
     assert across <= joined
     merged = registry.queries()["e1_turned_reconcile"](spark, sf_dir).collect()
     assert sum(r.n_members for r in merged) == len(o) and all(r["yaw"] is not None and r["size"] == 64 for r in merged)
+
+
+def test_rounded_sums_make_no_further_part(spark):
+    """Steps of 14 take 7 parts of 2, wherever the sum stands; longer ones take 8, tiny ones 1."""
+    starts = [115 + 0.037 * k for k in range(300)]
+    assert any(x + 14.0 - x > 14 for x in starts) and any(x + 14.0 - x < 14 for x in starts)
+    rows = [(3 + k, seq, x + 14.0 * seq, 0.0, 0.0) for k, x in enumerate(starts) for seq in (0, 1)]
+    rows += [(2, 0, 1000.0, 0.0, 0.0), (2, 1, 1014.000000001, 0.0, 0.0), (2, 2, 1014.0000000010001, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "session int, seq int, x double, y double, z double")
+    n = {(r.session, r.seq): r["count"] for r in tracks.densify(points, ["session"], 2.0).groupBy("session", "seq").count().collect()}
+    assert {n[3 + k, 1] for k in range(300)} == {7} and n[2, 1] == 8 and n[2, 2] == 1
